@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -44,6 +45,11 @@ class Written:
         out._written = path
         return out
 
+    def settle(self) -> None:
+        """Let Spark's cleaner see that finished steps are garbage, so that their shuffle files go before the next step's come."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in dfs:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .chat_format import ORACLE as _PREFERENCES
 
 
 def tokenizer_path() -> str:
@@ -38,11 +39,56 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_packing, op5_language_id, op10_html_extract)}
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import preferences
+
+    return preferences(table(spark, sf_dir, "conversations"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_preferences, op4_packing, op5_language_id, op7_line_dedup, op8_secret_scan, op9_license_scan, op10_html_extract)}
 
 _WORDS10 = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, list_sum([length(x) FOR x IN p[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS s, length(m[i]) AS n
+FROM (SELECT doc_id, p, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS g FROM d)) WHERE length(g[i]) >= {least}"""
+
+
 ORACLES = {
+    "op3_preferences": _PREFERENCES,
+    "op8_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({_spans("assign", 0, _ASSIGN, 2, 6)} UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_spans("hex", 2, "[0-9a-f]+", 0, 24)}),
+b AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS a, count(*) FILTER (WHERE rank = 1) AS c, count(*) FILTER (WHERE rank = 2) AS h, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, rank) AS t FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(t, '')) AS base_sha256, coalesce(t, '') AS spans FROM d LEFT JOIN b USING (doc_id)
+""",
     "op1_decontaminate": f"""
 WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS10.format(t="text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 win AS (SELECT DISTINCT item, m, array_to_string(w[k + 1:k + m], ' ') AS p FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(len(w) - least(10, len(w)) + 1)) AS k FROM iw WHERE len(w) > 0)),
