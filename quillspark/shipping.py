@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -23,9 +22,9 @@ def ship(spark: SparkSession) -> None:
                 if not name.endswith(".pyc"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    with tempfile.TemporaryDirectory() as d:
-        path = os.path.join(d, "quillspark_package.zip")
-        with open(path, "wb") as f:
-            f.write(data.getvalue())
-        sc.addPyFile(path)  # copies it
+    # The driver's file server reads it for as long as the application lives; Spark deletes this folder at the end.
+    path = os.path.join(sc._temp_dir, "quillspark_package.zip")
+    with open(path, "wb") as f:
+        f.write(data.getvalue())
+    sc.addPyFile(path)
     sc._quillspark_shipped = True
