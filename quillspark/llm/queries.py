@@ -51,6 +51,13 @@ def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences(table(spark, sf_dir, "conversations"))
 
 
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables hold no images; each embedding is drawn as a picture, and every tenth picture has an edited copy."""
+    from .media import copies, pictures
+
+    return copies(pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import report
 
@@ -69,7 +76,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_preferences, op4_packing, op5_language_id, op7_line_dedup, op8_secret_scan, op9_license_scan, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_preferences, op4_packing, op5_language_id, op6_image_copies, op7_line_dedup, op8_secret_scan, op9_license_scan, op10_html_extract)}
 
 _WORDS10 = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
