@@ -38,11 +38,17 @@ def windows_for(reference: DataFrame, moments: DataFrame) -> DataFrame:
     return both.withColumn("how", how).where("how is not null").withColumn("n", F.row_number().over(best)).where("n = 1").select("codelist", "moment", "valid_from", "valid_to", "how")
 
 
+def at_moments(reference: DataFrame, moments: DataFrame) -> DataFrame:
+    """The rows of `reference` that serve each moment, with the moment. A row a window and moment is broadcast."""
+    w = windows_for(reference, moments).select(F.col("codelist").alias("__l"), "moment", F.col("valid_from").alias("__a"), F.col("valid_to").alias("__b"))
+    on = (F.col("codelist") == F.col("__l")) & F.col("valid_from").eqNullSafe(F.col("__a")) & F.col("valid_to").eqNullSafe(F.col("__b"))
+    return reference.join(F.broadcast(w), on).drop("__l", "__a", "__b")
+
+
 def with_vintage_label(df: DataFrame, code_col: str, reference: DataFrame, moment: Column, out: str = "label") -> DataFrame:
     """df with the label of a code at each row's moment (J01-J03). `reference` is one codelist in scope; it is broadcast by Spark when its size allows, else shuffled on the code."""
-    w = windows_for(reference, df.select(moment.alias("moment")))
-    table = reference.join(F.broadcast(w), (reference["codelist"] == w["codelist"]) & reference["valid_from"].eqNullSafe(w["valid_from"]) & reference["valid_to"].eqNullSafe(w["valid_to"]))
-    table = table.groupBy(w["moment"].alias("__m"), stripped(reference["code"]).alias("__c")).agg(F.min("label").alias(out))
+    table = at_moments(reference, df.select(moment.alias("moment")))
+    table = table.groupBy(F.col("moment").alias("__m"), stripped(F.col("code")).alias("__c")).agg(F.min("label").alias(out))
     return df.withColumns({"__k": stripped(F.col(code_col).cast("string")), "__t": moment}).join(table, F.col("__k").eqNullSafe(F.col("__c")) & F.col("__t").eqNullSafe(F.col("__m")), "left").drop("__k", "__t", "__c", "__m")
 
 
@@ -95,6 +101,8 @@ def choose(observed: DataFrame, codes: DataFrame, order: list[str], curated: str
     for n, s, g in found:
         if s >= SURE and g >= SURE:
             return {"codelist": n, "share": s, "granularity": g, "rollups": [x for x in rollups if x != n], "reason": "measured"}
+    if not found:
+        return {"codelist": None, "share": 0.0, "granularity": 0.0, "rollups": [], "reason": "no candidate is known"}
     top = max((s for _, s, _ in found), default=0.0)
     near = [x for x in found if x[1] >= top - TIE]
     n, s, g = max(near, key=lambda x: (x[2], x[1]))

@@ -73,8 +73,7 @@ def render(df: DataFrame, docs: list[FieldDoc], reference: DataFrame, *, system:
         chosen = codelists.choose(observed, inscope, list(d.candidates), d.codelist)
         table = inscope.where(F.col("codelist") == chosen["codelist"]) if chosen["codelist"] else None
         if table is not None:
-            w = codelists.windows_for(table, df.select(moment.alias("moment")) if moment is not None else df.sparkSession.createDataFrame([(None,)], "moment int"))
-            used = table.join(F.broadcast(w), (table["codelist"] == w["codelist"]) & table["valid_from"].eqNullSafe(w["valid_from"]) & table["valid_to"].eqNullSafe(w["valid_to"])).select(table["codelist"], "code", "label", "moment")
+            used = codelists.at_moments(table, df.select(moment.alias("moment")) if moment is not None else df.sparkSession.createDataFrame([(None,)], "moment int"))
             doubled = codelists.contradictions(used, ["moment", "code"]).join(observed, F.col("code") == F.col("value"), "left_semi")
             if not doubled.isEmpty():
                 chosen = {**chosen, "codelist": None, "reason": "contradictory labels"}

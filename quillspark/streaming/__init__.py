@@ -1,0 +1 @@
+"""Streams of arriving files through the batch transforms, and windowed aggregation of events."""
