@@ -17,6 +17,7 @@ give no rows, or rows without hits. Columns other than those named are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -106,16 +107,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_BUILT: dict[tuple[int, int], list[Searcher]] = {}
+_BUILT: dict[tuple[str, int], list[Searcher]] = {}
 
 
-def _built(broadcast, window: int) -> list[Searcher]:
-    """The searchers of a block; a few blocks stay built in a worker."""
-    key = (broadcast._jbroadcast_id if hasattr(broadcast, "_jbroadcast_id") else id(broadcast), window)
+def _built(block: tuple, window: int) -> list[Searcher]:
+    """The searchers of a block (its own key, its broadcast); a few blocks stay built in a worker."""
+    key = (block[0], window)
     if key not in _BUILT:
         if len(_BUILT) >= BLOCKS_A_PASS:
             _BUILT.clear()
-        _BUILT[key] = searchers(broadcast.value, window)
+        _BUILT[key] = searchers(block[1].value, window)
     return _BUILT[key]
 
 
@@ -127,7 +128,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: s
     for block in chunks(((r.i, r.t) for r in items.toLocalIterator(prefetchPartitions=False)), lambda x: len(x[1]), BLOCK_BYTES):
         if len(passes[-1]) == BLOCKS_A_PASS:
             passes.append([])
-        passes[-1].append(spark.sparkContext.broadcast(block))
+        passes[-1].append((uuid.uuid4().hex, spark.sparkContext.broadcast(block)))
     own = list(docs.columns)
     name = fresh(docs, out)
     for k, blocks in enumerate(passes):
