@@ -49,23 +49,30 @@ def _attrs(tag: str, at: int) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")).lower() for m in _ATTR.finditer(tag, at)}
 
 
-def _boiler(name: str, attrs: dict[str, str], depth: int) -> bool:
-    """depth: how many article elements the element lies in."""
+#: Words that also name what holds an article beside such a part (a page with a sidebar).
+LAYOUT = {"sidebar", "sidebars", "header", "nav", "navbar", "menu", "toolbar", "topbar", "banner", "banners", "ad", "ads", "widget", "widgets", "toc"}
+
+
+def _boiler(name: str, attrs: dict[str, str], depth: int) -> int:
+    """0: no boilerplate; 1: boilerplate; 2: by a word of LAYOUT alone. depth: how many article elements the element lies in."""
     if name in BOILER or (name == "header" and not depth):
-        return True
+        return 1
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    if name in ("html", "body", "article", "main"):
-        return False
+        return 1
+    if name in ("html", "body", "main"):
+        return 0
     for key in ("class", "id", "role"):
         value = attrs.get(key)
         if value:
             for word in value.split():
                 if word in ARTICLE_WORDS:
-                    return False
-                if word in WORDS or not WORDS.isdisjoint(re.split(r"[-_:0-9]+", word)):
-                    return True
-    return False
+                    return 0
+                hits = WORDS & {word, *re.split(r"[-_:0-9]+", word)}
+                if depth:
+                    hits -= {"header"}  # an article's own head
+                if hits:
+                    return 2 if hits <= LAYOUT else 1
+    return 0
 
 
 def _article(name: str, attrs: dict[str, str]) -> bool:
@@ -77,8 +84,8 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
     out: list[tuple[str, bool, bool, int]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
-    boiler = article = 0
+    stack: list[tuple[str, int, bool, int]] = []  # name, boilerplate, article, boilerplate by layout words
+    boiler = article = soft = 0
 
     def flush() -> None:
         nonlocal linked
@@ -90,10 +97,10 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         linked = 0
 
     def pop() -> None:
-        nonlocal boiler, article
+        nonlocal boiler, article, soft
         flush()
-        _, b, a = stack.pop()
-        boiler, article = boiler - b, article - a
+        _, b, a, s = stack.pop()
+        boiler, article, soft = boiler - b, article - a, soft - s
 
     at, end = 0, len(page)
     while at < end:
@@ -149,15 +156,21 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
                     break
         attrs = _attrs(tag, got.end())
         b, a = _boiler(name, attrs, article), _article(name, attrs)
+        if a and b == 2 and name in ("article", "main"):
+            b = 0
+        s = int(b == 2)
+        b = min(b, 1)
         if b:
             flush()
+        elif a and boiler and boiler == soft:
+            b = s = -boiler  # the article of a page whose frame is named for its sidebar
         if b or a or name in BLOCK or name in ("b", "i", "em", "strong", "span", "a", "font", "u", "small"):
             if b or a or name in BLOCK:
                 flush()
-                stack.append((name, b, a))
-                boiler, article = boiler + b, article + a
+                stack.append((name, b, a, s))
+                boiler, article, soft = boiler + b, article + a, soft + s
             elif name == "span" or name == "a":
-                stack.append((name, b, a))
+                stack.append((name, 0, False, 0))
     flush()
     return out
 

@@ -388,6 +388,11 @@ def test_main_text_of_a_page():
     assert html_extract.extract(PAGE[: PAGE.index("<section")]) == html_extract.extract(PAGE)
 
 
+def test_frames_named_for_a_sidebar_hold_articles():
+    page = "<body><div class='page with-sidebar'><div class=sidebar>s</div><main class='no-sidebar'><header class='entry-header'><h1>Head</h1></header><p>Text.</p><div class='comments'><article class='has-sidebar'>I say!</article></div></main></div></body>"
+    assert html_extract.extract(page) == "Head Text."
+
+
 def test_distribution_finds_the_text_of_an_unmarked_page():
     body = "".join(f"<p>{'word ' * 40}{i}.</p>" for i in range(5))
     page = f"<body><div><a href=x>one</a></div><div><a href=y>two</a></div><div id=menu>m</div><div><h2>Title here</h2>{body}<p>End.</p></div><div class=footer>f</div><div>tiny</div></body>"
