@@ -1,7 +1,7 @@
 """Packing of documents into training sequences along a space-filling curve.
 
-Each document's lower-cased words are hashed, the hashed term-frequency vector is projected to four
-dimensions, and the four coordinates give a Hilbert key. A range shuffle by (key, id) lays the corpus out
+Each document's byte trigrams are hashed into a vector of counts, the vector is projected to four dimensions, and
+the four coordinates give a Hilbert key. A range shuffle by (key, id) lays the corpus out
 along the curve; each partition then tokenizes its documents in that order and fills sequences one after
 another, so neighbours on the curve share sequences. What is left at the end of a partition is cut into
 sequences whose lengths are powers of two, which need no padding, so partitions never wait for each other.
@@ -13,8 +13,8 @@ text are not read. Long texts are tokenized in pieces cut at spaces, which the t
 
 from __future__ import annotations
 
+import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import NOT_SPACE, as_bytes, mix, with_struct, words_hashed
+from ._common import as_bytes, chunks, mix, with_struct
 
 DIMENSIONS, BITS = 4, 12
-#: Words of up to this many characters are remembered; the memory is emptied when it holds CACHED words.
-CACHED_CHARS, CACHED = 48, 400_000
+FEATURES, PIECE = 4096, 1 << 20
+#: Words of up to this many bytes are remembered; the memory is emptied when it holds CACHED words.
+CACHED_BYTES, CACHED = 48, 600_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -62,19 +63,22 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+_SIGNS: list[np.ndarray] = []
+
+
 def project(data: bytes) -> np.ndarray:
-    """The document's hashed term-frequency vector projected to DIMENSIONS values in 0..1; a text without words is the origin."""
-    _, _, h = words_hashed(data, NOT_SPACE)
-    if not len(h):
+    """The document's hashed vector (counts of its byte trigrams in FEATURES cells, of unit length) projected to DIMENSIONS values in 0..1; a text of under three bytes is the origin."""
+    if not _SIGNS:
+        h = mix(np.arange(1, FEATURES + 1, dtype=np.uint64))
+        _SIGNS.append(np.stack([((h >> np.uint64(63 - k)) & np.uint64(1)).astype(np.float64) * 2 - 1 for k in range(DIMENSIONS)]))
+    count = np.zeros(FEATURES, np.int64)
+    for at in range(0, len(data) - 2, PIECE):
+        raw = np.frombuffer(data, np.uint8, min(PIECE + 2, len(data) - at), at).astype(np.uint16)
+        count += np.bincount((raw[:-2] * np.uint16(961) + raw[1:-1] * np.uint16(31) + raw[2:]) & np.uint16(FEATURES - 1), minlength=FEATURES)
+    norm = math.sqrt(float(np.dot(count, count)))
+    if not norm:
         return np.zeros(DIMENSIONS)
-    word, tf = np.unique(h, return_counts=True)
-    weight = tf / np.sqrt(float(np.dot(tf, tf)))
-    out = np.empty(DIMENSIONS)
-    with np.errstate(over="ignore"):
-        for k in range(DIMENSIONS):
-            sign = (mix(word + np.uint64(k + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(63)).astype(np.float64) * 2 - 1
-            out[k] = float(np.dot(weight, sign))
-    return 1 / (1 + np.exp(-1.702 * out))
+    return 1 / (1 + np.exp(-1.702 * (_SIGNS[0] @ count) / norm))
 
 
 def curve_keys(col: pa.Array) -> pa.StructArray:
@@ -84,48 +88,68 @@ def curve_keys(col: pa.Array) -> pa.StructArray:
 
 
 class Encoder:
-    """Token ids of texts. The vocabulary's pre-tokenizer drops white space, so words between ASCII spaces are encoded apart and remembered."""
+    """Token ids of texts. The vocabulary lower-cases texts and drops white space, so words between ASCII spaces are encoded apart, with A-Z as a-z, and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids as little-endian 32-bit integers."""
-        parts = []
-        for piece in _pieces(text):
-            words = piece.replace("\n", " ").split(" ")
-            known = self.known
-            new = [w for w in set(words) if w not in known]
-            if new:
-                if len(known) > CACHED:
-                    known.clear()
-                    known[""] = b""
-                    new = [w for w in set(words) if w not in known]
-                known.update(zip(new, self.encode(new), strict=True))
-            parts.append(b"".join(map(known.__getitem__, words)))
+        (self.mark,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode words in one text a thousand, parted by a character that is always a token of its own; words that hold it, or may hold a special token, go alone."""
+        mark = self.mark
+        plain = [w for w in new if b"\0" not in w and b"<|" not in w]
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            ids = np.asarray(self.tokenizer.encode((b" \0 ".join(part) + b" \0").decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == mark).tolist()
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self.known[w] = data[4 * start : 4 * end]
+                start = end + 1
+        if len(plain) < len(new):
             for w in new:
-                if len(w) > CACHED_CHARS:
-                    del known[w]
-        return np.frombuffer(b"".join(parts), "<u4")
-
-
-def _pieces(text: str, size: int = 1 << 19) -> Iterator[str]:
+                if b"\0" in w or b"<|" in w:
+                    self.known[w] = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text as little-endian 32-bit integers."""
+        known = self.known
+        cut = []
+        for text in texts:
+            data = text.encode()
+            cut.append([p.split(b" ") for p in _pieces(data if b"<|" in data else data.translate(_LOWER))])
+        if len(known) > CACHED:
+            known.clear()
+            known[b""] = b""
+        out = []
+        long = [w for words in cut for p in words for w in p if len(w) > CACHED_BYTES] if any(len(t) > CACHED_BYTES for t in texts) else []
+        self.learn(list(set().union(*(p for words in cut for p in words)).difference(known)))
+        for words in cut:
+            out.append(np.frombuffer(b"".join(b"".join(map(known.__getitem__, p)) for p in words), "<u4"))
+        for w in set(long):
+            known.pop(w, None)
+        return out
+
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
+
+
+def _pieces(data: bytes, size: int = 1 << 19) -> Iterator[bytes]:
+    """The text in pieces cut at spaces, with line ends as spaces."""
+    data = data.replace(b"\n", b" ")
     at = 0
-    while len(text) - at > size:
-        cut = max(text.rfind(" ", at, at + size), text.rfind("\n", at, at + size))
+    while len(data) - at > size:
+        cut = data.rfind(b" ", at, at + size)
         if cut <= at:
-            m = re.compile("[ \n]").search(text, at + size)
-            cut = m.start() if m else len(text)
-        yield text[at:cut]
+            cut = data.find(b" ", at + size)
+            cut = len(data) if cut < 0 else cut
+        yield data[at:cut]
         at = cut
-    yield text[at:]
+    yield data[at:]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -174,8 +198,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
         for b in batches:
             kind = b.column(0).type
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.append(encoder.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for doc, ids in ((d, i) for part in chunks(zip(b.column(0), b.column(1), strict=True), lambda x: len(x[1].as_buffer() or b"") if x[1].is_valid else 0, 1 << 20) for (d, _), i in zip(part, encoder.many([t.as_py() or "" for _, t in part]), strict=True)):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 at = 0
                 for length in cuts(len(ids), size - used, size):
                     piece = ids[at : at + length]
