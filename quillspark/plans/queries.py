@@ -553,3 +553,142 @@ def semi_anti(spark, d):
 def lake_pruned_scan(spark, d):
     li = t(spark, d, "lineitem").where("l_shipdate >= timestamp '1998-01-01' and l_shipdate < timestamp '1999-01-01' and l_returnflag = 'R'")
     return li.groupBy((F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("long").alias("l_shipmonth")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+# --- more of the reference tables, ledger and search --------------------------------------------
+
+
+@query(f"SELECT system, codelist, code, label, min(valid_from) AS valid_from, max(conf) AS confidence FROM (SELECT *, CASE source {' '.join(f'''WHEN '{k}' THEN {c}''' for k, (_, c) in dictionary.AUTHORITY.items())} END AS conf FROM {_CLAIMS_SQL}) GROUP BY ALL")
+def bundle_collapse(spark, d):
+    claims = spark.createDataFrame(_CLAIMS, _CLAIM).withColumns({"valid_to": F.lit(None).cast("int"), "confidence": dictionary.confidence(F.col("source"))})
+    return dictionary.collapsed(claims).drop("valid_to")
+
+
+@query(f"SELECT codelist, CAST(count(DISTINCT code) AS BIGINT) AS codes, CAST(count(DISTINCT label) AS BIGINT) AS labels, round(count(DISTINCT label) / count(DISTINCT code), 6) AS granularity FROM {_CLAIMS_SQL} GROUP BY codelist")
+def codelist_stats(spark, d):
+    return codelists.list_stats(spark.createDataFrame(_CLAIMS, _CLAIM)).select("codelist", "codes", "labels", "granularity")
+
+
+@query("SELECT 'sex' AS codelist, '9' AS code")
+def ignored_label_codes(spark, d):
+    return codelists.sentinel_codes(spark.createDataFrame(_CLAIMS, _CLAIM))
+
+
+@query(f"SELECT 'status' AS codelist, CAST(count(DISTINCT (a, b)) AS BIGINT) AS windows, bool_or(b IS NULL) AS open_ended, CAST(count(DISTINCT code) AS BIGINT) AS codes FROM {_STATUS_SQL}")
+def codelist_vintages(spark, d):
+    return codelists.vintages(status(spark))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS code, CASE WHEN n_nationkey < 5 THEN n_name ELSE r_name END AS label FROM nation JOIN region ON n_regionkey = r_regionkey")
+def multi_codelist_merge(spark, d):
+    """Two tables for one field; the first that has a code wins."""
+    lists = _nation_lists(spark, d)
+    return codelists.merged([lists.where("codelist = 'few'"), lists.where("codelist = 'region'")])
+
+
+@query("SELECT 'SEXO' AS field, 'SEX' AS codelist, 1 AS rank UNION ALL SELECT 'SEXO', 'SEXO', 0 UNION ALL SELECT 'SEXO', 'RACA', 2")
+def name_affinity(spark, d):
+    rows = spark.createDataFrame([("SEXO", "SEX"), ("SEXO", "SEXO"), ("SEXO", "RACA")], "field string, codelist string")
+    return rows.withColumn("rank", text.affinity(F.col("field"), F.col("codelist")))
+
+
+@query("SELECT lpad(CAST((c_custkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS six, count(*) AS n FROM customer GROUP BY 1")
+def place_index(spark, d):
+    six = F.lpad(((F.col("c_custkey") * 7919) % 1000000).cast("string"), 6, "0")
+    c = t(spark, d, "customer").select(six.alias("code"))
+    index = dictionary.place_index(c)
+    return c.join(index.select("six"), F.col("code") == F.col("six")).groupBy("six").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, label, CASE WHEN o_orderstatus <> label THEN o_orderstatus || ' – ' || label ELSE o_orderstatus END AS shown FROM orders JOIN (VALUES ('F', 'Filled'), ('O', 'O'), ('P', 'Part')) AS v(code, label) ON code = o_orderstatus")
+def code_and_label(spark, d):
+    labels = spark.createDataFrame([("F", "Filled"), ("O", "O"), ("P", "Part")], "code string, label string")
+    o = codelists.label_once(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", labels)
+    shown = F.when(text.useful_label(F.col("o_orderstatus"), F.col("label")), text.code_and_label(F.col("o_orderstatus"), F.col("label"))).otherwise(F.col("o_orderstatus"))
+    return o.select("o_orderkey", "label", shown.alias("shown"))
+
+
+@query("SELECT * FROM (VALUES ('absent', 3), ('malformed', 1), ('sentinel', 4), ('several', 2), ('single', 5), ('unknown', 6)) AS v(kind, n)")
+def diagnosis_quality(spark, d):
+    from . import meaning
+
+    values = spark.createDataFrame([("A00", 5), ("B99", 6), ("A00 B01", 2), ("0000", 4), ("9x", 1), (None, 2), (" ", 1)], "value string, n int")
+    return meaning.icd_quality(values, spark.createDataFrame([("A00",)], "code string")).select("kind", F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('p_name', 'delimited'), ('p_brand', 'none')) AS v(field, packing)")
+def token_rules(spark, d):
+    freq = profile.frequencies(t(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit(",")).alias("p_name"), "p_brand"))
+    out = []
+    for f in ("p_name", "p_brand"):
+        rule = render.token_rule(freq.where((F.col("field") == f) & F.col("value").isNotNull()))
+        out.append((f, "delimited" if "delimiters" in rule else "width" if rule else "none"))
+    return spark.createDataFrame(out, "field string, packing string")
+
+
+@query("SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def daily_windows(spark, d):
+    """The streaming aggregate on a batch: event-time windows of a day."""
+    from ..streaming.ingest import windowed
+
+    return windowed(t(spark, d, "events"), time="ts", keys=["event_type"], value="value").select("event_type", "start", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, d):
+    from ..streaming.ingest import sessions
+
+    return sessions(t(spark, d, "events"), time="ts", key="user_id").select("user_id", "start", "n")
+
+
+@query("SELECT prefix, series FROM (VALUES ('X:RD', 'RD'), ('PAUFAAMM', 'PA'), ('RD_2015', 'RD'), ('RDSP2301', 'RD'), ('a b', 'A_B')) AS v(prefix, series)")
+def canonical_series(spark, d):
+    rows = spark.createDataFrame([("X:RD",), ("PAUFAAMM",), ("RD_2015",), ("RDSP2301",), ("a b",)], "prefix string")
+    return rows.withColumn("series", naming.canonical_series(F.col("prefix")))
+
+
+@query("SELECT * FROM (VALUES ('/kits/k_199801-200512.zip', 199801, 200512), ('/k_200601_200712/x.zip', 200601, 200712), ('/x.zip', NULL, NULL)) AS v(path, a, b)")
+def kit_windows(spark, d):
+    rows = spark.createDataFrame([("/kits/k_199801-200512.zip",), ("/k_200601_200712/x.zip",), ("/x.zip",)], "path string")
+    a, b = naming.kit_window(F.col("path"))
+    return rows.select("path", a.alias("a"), b.alias("b"))
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM orders), 4) AS percent, label FROM orders LEFT JOIN (VALUES ('F', 'Filled'), ('O', 'Open')) AS v(code, label) ON code = o_orderstatus GROUP BY ALL")
+def describe_field(spark, d):
+    from .. import api
+
+    codes = spark.createDataFrame([("F", "Filled"), ("O", "Open")], "code string, label string")
+    return api.describe(t(spark, d, "orders"), "o_orderstatus", codes).drop("rank")
+
+
+@query("SELECT 'c_mktsegment' AS field, 'categorical_undecoded' AS semantic_type, 'non_summable' AS aggregation UNION ALL SELECT 'c_acctbal', 'money', 'additive' UNION ALL SELECT 'c_name', 'free_text', 'non_summable'")
+def ledger_rows(spark, d):
+    from . import meaning
+
+    c = t(spark, d, "customer").select("c_mktsegment", F.format_string("%.2f", "c_acctbal").alias("c_acctbal"), "c_name")
+    return meaning.ledger(detectors.verdicts(detectors.evidence(profile.frequencies(c)))).select("field", "semantic_type", "aggregation")
+
+
+@query("SELECT o_orderstatus AS status, CAST(min(year(o_orderdate)) AS BIGINT) AS first, CAST(max(year(o_orderdate)) AS BIGINT) AS last FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+def series_span(spark, d):
+    o = t(spark, d, "orders").where("o_orderstatus in ('F', 'O')")
+    return o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.min(F.year("o_orderdate")).cast("long").alias("first"), F.max(F.year("o_orderdate")).cast("long").alias("last"))
+
+
+@query()
+def search_documents(spark, d):
+    """Ranked full-text search; the ranking is our own, so only rows are compared. The limit is the report's."""
+    from . import meaning
+
+    x = t(spark, d, "documents").select(F.col("lang").alias("kind"), F.col("doc_id").cast("string").alias("name"), "text")
+    return meaning.search(x, "license", 20)
+
+
+@query("SELECT p_type AS codelist, CAST(count(DISTINCT p_brand) AS BIGINT) AS fields FROM part GROUP BY 1")
+def bindings_of_types(spark, d):
+    p = t(spark, d, "part").select(F.lit("s").alias("system"), F.col("p_type").alias("codelist"), F.col("p_brand").alias("field")).distinct()
+    e = t(spark, d, "part").select(F.lit("s").alias("system"), F.col("p_type").alias("codelist"), F.col("p_name").alias("code"))
+    return dictionary.bound_only(e, p).select("codelist").distinct().join(p, "codelist").groupBy("codelist").agg(F.count_distinct("field").alias("fields"))
