@@ -2,7 +2,7 @@
 
 Each language has a zstandard raw-content dictionary: normalised text of a bounded sample of labelled documents.
 A document is normalised (lower case, runs of anything but letters become one space), compressed whole with each
-dictionary, and gets the language whose dictionary makes it smallest. `margin` is how much smaller that is than
+dictionary (a text under SHORT bytes twice over, as sizes are whole bytes and a frame has a fixed cost), and gets the language whose dictionary makes it smallest. `margin` is how much smaller that is than
 the runner-up, as a share; a margin under MARGIN is narrow and the document is rejected (`accepted` is false).
 
 The sample: per language the DOCS_A_LANGUAGE labelled documents of lowest hash (chosen by a partial top-k before
@@ -26,6 +26,8 @@ from ._common import fresh, with_struct
 
 DOCS_A_LANGUAGE, DICTIONARY_BYTES, MOST_LANGUAGES = 400, 98_304, 400
 LEVEL, MARGIN = 9, 0.002
+#: A frame costs more than a match in a few words saves; twice the text shows the saving.
+SHORT = 400
 
 GUESS = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType()), StructField("accepted", BooleanType())])
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -84,6 +86,8 @@ def guess(text: str | None, models: list[tuple[str, zstandard.ZstdCompressor]],
     if not text or not models or not has_letter(text):
         return "und", 0.0, 0.0, False
     data = normalise(text)
+    if len(data) < SHORT:
+        data *= 2
     sizes = sorted((len(c.compress(data)), lang) for lang, c in models)
     best, lang = sizes[0]
     gap = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
