@@ -46,7 +46,7 @@ def translate(spark: SparkSession, data, *, reference: DataFrame, docs: Iterable
 
 
 def fetch(spark: SparkSession, files: DataFrame, *, plan: normalize.Plan, uf=None, years=None, months=None, columns: list[str] | None = None, reference: DataFrame | None = None, docs: Iterable[render.FieldDoc] = (), profile: str | Profile = "analysis", max_bytes: int | None = None, allow_partial: bool = False) -> tuple[DataFrame, render.Report]:
-    """From listed files (see inventory.facts) to a labelled table: select, decode, normalise, render. A source that cannot be decoded refuses the whole unless that is allowed."""
+    """From listed files (see inventory.facts) to a labelled table: select, decode, normalise, render. A source that cannot be decoded refuses the whole unless that is allowed."""
     chosen = inventory.select_files(files, ufs=uf, years=years, months=months, max_bytes=max_bytes).select("path").collect()
     parts, failed = [], []
     for r in chosen:

@@ -141,6 +141,17 @@ def aggregation_class(semantic_type: Column, declared: Column | None = None) ->
     return F.when(F.coalesce(summable, F.lit(False)), "additive").otherwise("non_summable")
 
 
+def membership(freq: DataFrame, codes: DataFrame) -> DataFrame:
+    """(field, share): mass of each field's values that lie in a set of codes."""
+    hit = freq.join(codes.select(F.col("code").alias("value")).distinct().withColumn("hit", F.lit(True)), "value", "left")
+    return hit.groupBy("field").agg(F.coalesce(F.round(rate(F.col("hit")), 6), F.lit(0.0)).alias("share"))
+
+
+def sensitive(verdicts_: DataFrame) -> DataFrame:
+    """Columns that hold personal identifiers, by their shapes."""
+    return verdicts_.where(F.startswith("semantic_type", F.lit("personal_identifier"))).select("field", "semantic_type", "confidence")
+
+
 def retired(freq: DataFrame, top: int = 3) -> DataFrame:
     """Fields whose most frequent values are all zeros, nines or blank."""
     from .profile import top_values

@@ -44,6 +44,7 @@ def clean_states(values: list[str] | None) -> list[str] | None:
 
 
 def clean_months(values: list[int] | None) -> list[int] | None:
+    """1 to 12, in order; others are refused."""
     if values is None:
         return None
     out = sorted({int(v) for v in ([values] if isinstance(values, int) else values)})

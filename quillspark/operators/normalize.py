@@ -109,6 +109,11 @@ def needed(columns: list[str], depends: dict[str, list[str]]) -> list[str]:
     return out
 
 
+def projected(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The requested columns, and all provenance."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in keep or c.startswith("_")])
+
+
 def fingerprint(plan: Plan, sources: list[tuple[str, str, str]]) -> str:
     """A partition's fingerprint: plan digest and ordered (path, digest, member) of its sources."""
     return hashlib.sha256("\x1f".join([plan.digest, *("\x1e".join(s) for s in sorted(sources))]).encode()).hexdigest()

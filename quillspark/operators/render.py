@@ -41,7 +41,7 @@ class FieldDoc:
 
 @dataclass
 class Report:
-    """What a rendering decided, as data."""
+    """What a rendering decided, as data."""
 
     decisions: list[dict] = field(default_factory=list)
 

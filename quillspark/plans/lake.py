@@ -222,7 +222,7 @@ def export(df: DataFrame, path: str, format: str | None = None) -> str:
 
 
 def write_reference(spark: SparkSession, entries: DataFrame, root: str) -> None:
-    """The reference warehouse: codelist=/system=/window=, with code widths; a window is told from valid_from, so tables that share a start stay apart."""
+    """The reference warehouse: codelist=/system=/window=, with code widths; a window is told from valid_from, so tables that share a start stay apart; the folders register the tables."""
     key = F.concat_ws("_", F.coalesce(F.col("valid_from").cast("string"), F.lit("")), F.coalesce(F.col("valid_to").cast("string"), F.lit("")))
     out = entries.withColumns({"code_width": F.length("code"), "window": key})
     out.hint("rebalance", "codelist", "system").write.mode("overwrite").option("compression", "zstd").partitionBy("codelist", "system", "window").parquet(f"{root}/reference")

@@ -113,6 +113,27 @@ def parse_curation(doc: dict) -> list[dict]:
     return out
 
 
+def parse_dataset_docs(doc: dict) -> list[dict]:
+    """What a dataset's row is, its unit and known biases."""
+    out = []
+    for system, series in (doc or {}).items():
+        for name, d in (series or {}).items():
+            if not (d or {}).get("grain"):
+                raise CurationInvalid(f"{system}.{name}: what is a row?")
+            out.append({"system": system.upper(), "series": name.upper(), "grain": d["grain"], "unit": d.get("unit"), "notes": "; ".join(d.get("biases", []))})
+    return out
+
+
+def roles_by_globs(files: DataFrame, globs: dict[str, str]) -> DataFrame:
+    """The role that the first matching pattern gives a path."""
+    import fnmatch
+
+    role = F.lit(None).cast("string")
+    for pattern, name in reversed(globs.items()):
+        role = F.when(F.col("path").rlike(fnmatch.translate(pattern).replace("(?s:", "(?s)(?:").replace("\\z", "$").replace("\\Z", "$")), name).otherwise(role)
+    return files.withColumn("role", role)
+
+
 def pack(spark: SparkSession, tables: dict[str, DataFrame], path: str, note: str = "") -> str:
     """A portable bundle: a folder of Parquet tables and a manifest."""
     from .lake import Files

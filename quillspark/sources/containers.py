@@ -205,3 +205,47 @@ def with_deadline(f: Callable, seconds: float, label: str = ""):
         raise ItemTimeout(f"{label}: over {seconds} s") from e
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
+
+
+def read_duckdb(spark, path: str, limit: int | None = None) -> dict[str, DataFrame]:
+    """One frame for each table of a database file (R17); a storage version that the client cannot open is refused by number. The file must be on the driver's machine."""
+    try:
+        import duckdb
+    except ImportError as e:
+        raise UnsupportedContainer("reading database files needs duckdb") from e
+    with open(path, "rb") as f:
+        version = duckdb_version(f.read(20))
+    try:
+        c = duckdb.connect(path, read_only=True)
+    except duckdb.Error as e:
+        raise UnsupportedContainer(f"storage version {version}: {str(e)[:120]}") from e
+    try:
+        names = c.sql("SELECT table_schema, table_name FROM information_schema.tables ORDER BY ALL").fetchall()
+        return {f"{s}.{t}": spark.createDataFrame(c.sql(f'SELECT * FROM "{s}"."{t}"' + (f" LIMIT {int(limit)}" if limit else "")).arrow().read_all()) for s, t in names}
+    finally:
+        c.close()
+
+
+def fetch_all(paths: list[str], get: Callable[[str], bytes], *, workers: int = 8, held: dict[str, bytes] | None = None, stall: float = 60.0) -> tuple[dict[str, bytes], dict[str, str]]:
+    """(bytes by path, errors by path): what is held is settled first, the rest is fetched by several workers, none longer than `stall` seconds."""
+    import concurrent.futures
+
+    out = {p: held[p] for p in paths if held and p in held}
+    failed: dict[str, str] = {}
+    pool = concurrent.futures.ThreadPoolExecutor(workers)
+    waiting = {pool.submit(get, p): p for p in dict.fromkeys(paths) if p not in out}
+    try:
+        while waiting:
+            done, _ = concurrent.futures.wait(waiting, timeout=stall, return_when=concurrent.futures.FIRST_COMPLETED)
+            if not done:
+                failed.update({p: f"ItemTimeout: nothing arrived in {stall} s" for p in waiting.values()})
+                break
+            for f in done:
+                p = waiting.pop(f)
+                try:
+                    out[p] = f.result()
+                except Exception as e:  # whatever a client raises is that path's answer
+                    failed[p] = f"{type(e).__name__}: {e}"
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+    return out, failed

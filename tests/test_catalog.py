@@ -79,3 +79,40 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["systems", f"file://{tmp_path}"]) == 0 and capsys.readouterr().out.split() == ["S"]
     main(["sql", f"file://{tmp_path}", "SELECT count(*) AS n FROM S_a"])
     assert "3" in capsys.readouterr().out
+
+
+def test_database_files_and_fetches(spark, tmp_path):
+    import duckdb
+
+    from quillspark.sources import containers
+
+    c = duckdb.connect(str(tmp_path / "a.duckdb"))
+    c.sql("CREATE TABLE t AS SELECT 1 AS x, 'a' AS y")
+    c.close()
+    assert [tuple(r) for r in containers.read_duckdb(spark, str(tmp_path / "a.duckdb"))["main.t"].collect()] == [(1, "a")]
+    (tmp_path / "b.duckdb").write_bytes(b"\0" * 8 + b"DUCK" + (99).to_bytes(8, "little") + b"\0" * 5000)
+    with pytest.raises(errors.UnsupportedContainer):
+        containers.read_duckdb(spark, str(tmp_path / "b.duckdb"))
+
+    def get(p):
+        if p == "bad":
+            raise OSError("no")
+        return p.encode()
+
+    got, failed = containers.fetch_all(["a", "b", "bad"], get, held={"a": b"held"})
+    assert got == {"a": b"held", "b": b"b"} and "OSError" in failed["bad"]
+
+
+def test_roles_docs_and_identifiers(spark):
+    from quillspark.operators import detectors, profile
+    from quillspark.plans import meaning
+
+    f = spark.createDataFrame([("/a/x.dbc",), ("/doc/y.pdf",), ("/z",)], "path string")
+    assert [r.role for r in meaning.roles_by_globs(f, {"/doc/*": "documentation", "*.dbc": "data"}).orderBy("path").collect()] == ["data", "documentation", None]
+    assert meaning.parse_dataset_docs({"s": {"rd": {"grain": "a stay"}}})[0]["series"] == "RD"
+    with pytest.raises(errors.CurationInvalid):
+        meaning.parse_dataset_docs({"s": {"rd": {}}})
+    people = spark.range(200).select((F.col("id") + 10_000_000_000).cast("string").alias("CPF"), F.lit("x").alias("o"))
+    freq = profile.frequencies(people)
+    assert [r.field for r in detectors.sensitive(detectors.verdicts(detectors.evidence(freq))).collect()] == ["CPF"]
+    assert {r.field: r.share for r in detectors.membership(freq, spark.createDataFrame([("x",)], "code string")).collect()} == {"CPF": 0.0, "o": 1.0}
