@@ -27,6 +27,7 @@ than id and text are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ._common import NOT_SPACE, Written, as_bytes, mix, runs_hashed, same, with_struct, words_hashed
+from ._common import NOT_SPACE, Written, as_bytes, fresh, mix, runs_hashed, same, with_struct, words_hashed
 from ._graph import components
 
 HUB_ROUNDS = 2
@@ -56,17 +57,17 @@ class Bands:
     def of(self, size: int) -> int:
         while self.ends[-1] < size:
             self.ends.append((self.ends[-1] + 1) * 100 // self.percent)
-        return int(np.searchsorted(self.ends, size))
+        return bisect.bisect_left(self.ends, size)
 
     def differences(self, band: int) -> int:
-        self.of(self.ends[-1] + 1) if band >= len(self.ends) else None
+        while len(self.ends) <= band:
+            self.ends.append((self.ends[-1] + 1) * 100 // self.percent)
         return 2 * self.ends[band] * (100 - self.percent) // (100 + self.percent)
 
 
 def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of a set, for its band and the next."""
     band = bands.of(len(items))
-    bands.of(bands.ends[-1] + 1)
     out = []
     for b in (band, band + 1):
         k = bands.differences(b)
@@ -135,10 +136,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return both.select("vid", "hub", (F.col("i") * 100 >= F.lit(percent) * (F.col("t") - F.col("i"))).alias("linked"), (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("far"))
 
     tested = write(verified(pairs))
+    first = rows
     links = tested.where("linked").select(F.col("vid").alias("u"), F.col("hub").alias("v"))
     label = components(links, write)
-    done = False
-    first = rows
     reach = (100 - percent) / 100 + 1e-9
     for turn in range(HUB_ROUNDS + 1):
         # What hubs leave behind: members other than the hub, in groups with several components.
@@ -159,10 +159,14 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             more = left.join(other, "sig").where((F.col("l") < F.col("wl")) & (F.abs(F.col("far") - F.col("wfar")) <= reach))
             more = more.select("vid", F.col("w").alias("hub")).distinct()
         found = write(verified(more).where("linked").select(F.col("vid").alias("u"), F.col("hub").alias("v")))
+        if turn:
+            write.drop(before)
+        before = left
         rows = left.select("sig", "vid", "hub", "far")
         if not found.isEmpty():
             label = components(label.unionByName(found), write)
         write.drop(found)
+    write.drop(first, tested, sets)
     named = owners.join(label.select(F.col("u").alias("vid"), F.col("v").alias("l")), "vid", "left").withColumn("l", F.coalesce("l", "vid"))
     least = named.groupBy("l").agg(F.min("owner").alias("component"))
     named = named.join(least, "l").select("a", "b", "component")
@@ -173,10 +177,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each class (the one of least id); all columns as they were. Rows that repeat an id are one document, of which one row stays."""
     found = classes(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    kept = found.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, same(docs[id_col], kept["__kept"]), "left_semi")
+    key, rank = fresh(docs, "kept_id"), fresh(docs, "rank")
+    kept = found.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    out = docs.join(kept, same(F.col(id_col), F.col(key)), "left_semi")
     one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    return out.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    return out.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*docs.columns)
 
 
 def reference(docs: list[tuple[int, str | None]], n: int = 3, percent: int = 90) -> dict[int, tuple[int, int]]:
