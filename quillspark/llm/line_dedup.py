@@ -5,7 +5,7 @@ number) has a Jaccard similarity of `percent` or more with it, whether or not th
 fewer than MIN_WORDS distinct words stay, as short lines say too little to be called copies.
 
 1. Word counts go into a table of 65,536 hashed counters (fixed size), which orders words by rarity; the order
-   only steers the work, any order gives the same result.
+   only steers the work, any order gives the same result. From here on a word is a 63-bit number.
 2. Lines that repeat exactly are found by hash aggregation; all but the first are removed.
 3. Every line emits its rarest words, its prefix: lines that match share a word of both prefixes. A row holds the
    word's hash, the line's place and a packed payload: size, position of the word, and a 40-bit parity map of the
@@ -39,13 +39,13 @@ def _words(text: Column) -> Column:
     return F.split(F.btrim(F.lower(text), F.lit(" \t\x0b\x0c\r\n")), SPACES)
 
 
-def rarity(docs: DataFrame, text_col: str) -> bytes:
-    """For each hashed counter a byte that grows with the logarithm of its count, over all words of all documents. COUNTERS rows reach the driver."""
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("k"))
-    out = bytearray(COUNTERS)
+def rarity(docs: DataFrame, text_col: str) -> list[int]:
+    """For each hashed counter a rank of up to 127 that grows with the logarithm of its count, over all words of all documents. COUNTERS rows reach the driver."""
+    words = docs.select(F.explode(_words(F.col(text_col))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("k"))
+    out = [0] * COUNTERS
     for r in words.groupBy("k").count().collect():
-        out[r[0]] = min(255, int(5 * math.log2(r[1] + 1)))
-    return bytes(out)
+        out[r[0]] = min(127, int(2.5 * math.log2(r[1] + 1)))
+    return out
 
 
 def _bits(n: int) -> int:
@@ -70,16 +70,17 @@ def _may_match(x: str, y: str, percent: int) -> Column:
     return wide | (near & room & apart)
 
 
-def _prefixes(lines: DataFrame, ranks: bytes, percent: int, min_words: int) -> DataFrame:
-    """(tok, place, load) for each word of each line's prefix. `lines`: place, line."""
-    ranked = lambda w: F.concat(F.substring(F.lit(ranks), F.pmod(F.xxhash64(w), F.lit(COUNTERS)).cast("int") + 1, 1), w.cast("binary"))
-    rows = lines.select("place", F.array_distinct(_words(F.col("line"))).alias("w")).where(F.size("w") >= min_words)
-    rows = rows.select("place", F.size("w").cast("long").alias("n"), F.sort_array(F.transform("w", ranked)).alias("w"))
-    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(MAP_BITS)))))
+def _prefixes(lines: DataFrame, ranks: list[int], percent: int, min_words: int) -> DataFrame:
+    """(tok, place, load) for each word of each line's prefix. `lines`: place, line. A word is its rank and 56 bits of its hash, so that numbers sort by rarity."""
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # a constant
+    ranked = lambda h: F.call_function("shiftleft", F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(_bits(56))))
+    rows = lines.select("place", F.sort_array(F.array_distinct(F.transform(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)), ranked))).alias("w"))
+    rows = rows.where(F.size("w") >= min_words).select("place", F.size("w").cast("long").alias("n"), "w")
+    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (w % MAP_BITS).cast("int"))))
     rows = rows.select("place", "n", parity.alias("map"), F.slice("w", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("int")).alias("w"))
-    rows = rows.select("place", "n", "map", F.posexplode("w").alias("i", "w"))
+    rows = rows.select("place", "n", "map", F.posexplode("w").alias("i", "tok"))
     load = F.least(F.col("n"), F.lit(_bits(SIZE_BITS))) * (1 << (POSITION_BITS + MAP_BITS)) + F.least(F.col("i"), F.lit(_bits(POSITION_BITS))) * F.lit(1 << MAP_BITS) + F.col("map")
-    return rows.select(F.xxhash64("w").alias("tok"), "place", load.cast("long").alias("load"))
+    return rows.select("tok", "place", load.cast("long").alias("load"))
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -95,18 +96,20 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     lines = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select((F.coalesce(F.col("id") - low + 1, F.lit(0)) * (1 << shift) + F.col("pos")).alias("place"), "line")
 
-    # Exact copies. Lines too short to count are left out before anything is shuffled.
-    long_enough = F.size(F.array_distinct(_words(F.col("line")))) >= min_words
-    marks = lines.where(long_enough).select("place", F.xxhash64("line").alias("mark"), F.xxhash64(F.lit("second"), "line").alias("mark2"))
-    first = marks.groupBy("mark", "mark2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
-    copies = write(marks.join(first, ["mark", "mark2"]).where("place > first").select("place", "mark"))
+    lines = lines.where(F.length("line") >= 2 * min_words - 1)  # so many words need so many characters
 
     rows = write(_prefixes(lines, ranks, percent, min_words))
-    heads = rows.groupBy("tok").agg(F.min("place").alias("hub"), F.min_by("load", "place").alias("hub_load"), F.max("place").alias("last")).where("hub < last").drop("last")
-    shared = write(rows.join(heads, "tok").select("tok", "place", "load", "hub", "hub_load"))
+    heads = rows.groupBy("tok").agg(F.min("place").alias("hub"), F.min_by("load", "place").alias("hub_load"), F.max("place").alias("last"), (F.count("*") > 2).alias("many")).where("hub < last").drop("last")
+    shared = write(rows.join(heads, "tok").select("tok", "place", "load", "hub", "hub_load", "many"))
     write.drop(rows)
     write.settle()
 
+    # Exact copies; a copy shares its words with its first, so those that have words enough are in `shared`.
+    marks = lines.select("place", F.xxhash64("line").alias("mark"), F.xxhash64(F.lit("second"), "line").alias("mark2"))
+    first = marks.groupBy("mark", "mark2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
+    copies = marks.join(first, ["mark", "mark2"]).where("place > first").select("place", "mark")
+    copies = write(copies.join(shared.select("place").distinct(), "place", "left_semi"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Places of pairs (place, other) whose lines match, with the line's hash."""
         pairs = write(pairs)
@@ -114,16 +117,24 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         found = write(lines.join(wanted, "place", "left_semi").select("place", F.xxhash64("line").alias("mark"), F.array_distinct(_words(F.col("line"))).alias("w")).distinct())
         both = pairs.join(found, "place").join(found.select(F.col("place").alias("other"), F.col("w").alias("v")), "other")
         inter = F.size(F.array_intersect("w", "v")).cast("long")
-        return write(both.where(inter * 100 >= F.lit(percent) * (F.size("w") + F.size("v") - inter)).select("place", "mark").distinct())
+        out = write(both.where(inter * 100 >= F.lit(percent) * (F.size("w") + F.size("v") - inter)).select("place", "mark").distinct())
+        write.drop(pairs, wanted, found)
+        return out
 
     near = shared.where((F.col("place") > F.col("hub")) & _may_match("load", "hub_load", percent)).select("place", F.col("hub").alias("other")).distinct()
     gone = verified(near.join(copies.select("place"), "place", "left_anti"))
     write.settle()
-    decided = copies.select("place").union(gone.select("place"))
-    open_ = shared.where("place > hub").join(decided, "place", "left_anti").select("tok", "place", "load", "hub")
-    other = shared.where("place > hub").join(copies.select("place"), "place", "left_anti").select("tok", F.col("place").alias("other"), F.col("load").alias("other_load"))
-    more = open_.join(other, "tok").where((F.col("other") < F.col("place")) & _may_match("load", "other_load", percent)).select("place", "other").distinct()
-    out = copies.unionByName(gone).unionByName(verified(more)).distinct()
+    # Only words of three lines or more have pairs without the earliest line.
+    status = copies.select("place", F.lit(True).alias("copy")).unionByName(gone.select("place", F.lit(False).alias("copy"))).distinct()
+    left = shared.where("many and place > hub").select("tok", "place", "load").join(status, "place", "left").where("copy is null or not copy")
+    left = write(left.select("tok", "place", "load", F.col("copy").isNull().alias("open")))
+    write.drop(shared)
+    write.settle()
+    other = left.select("tok", F.col("place").alias("other"), F.col("load").alias("other_load"))
+    more = left.where("open").join(other, "tok").where((F.col("other") < F.col("place")) & _may_match("load", "other_load", percent)).select("place", "other").distinct()
+    last = verified(more)
+    write.drop(left)
+    out = copies.unionByName(gone).unionByName(last).distinct()
     return out.select(F.when(F.col("place") >= 1 << shift, F.expr(f"shiftright(place, {shift})") + (low - 1)).alias("id"), (F.col("place") % (1 << shift)).cast("int").alias("pos"), "mark")
 
 
