@@ -10,13 +10,15 @@ A set signs for its own band and for the next.
 Plan, with rows in the order of documents:
 1. One pass over the texts writes (id, size, 128-bit hash of the set, signatures). Equal sets become one
    representative by an aggregation; copies never meet again until the end.
-2. Signatures of representatives are grouped: an aggregation finds each group's least member (its hub) and size;
-   groups of one vanish. Members join their hub, not each other, so a group of m makes m pairs. The join on the
-   signature can be split where it is skewed, as its other side has one row a key.
-3. Pairs are made distinct and verified exactly on the sets; links give components.
+2. Signatures of representatives are grouped; groups of one vanish. A group's hub is the member that meets most
+   others over all its signatures. Members join their hub, not each other, so a group of m makes m pairs. The joins
+   on the signature can be split where they are skewed, as their other side has one row a key.
+3. Pairs are made distinct; those that sizes and parity maps of the sets still allow are verified exactly on the
+   sets; links give components.
 4. In groups whose members are now all in one component no pair is left to find. Where there are several, members
-   are paired with the next hub (two more rounds), and what is left after that pairwise. A pair is only skipped
-   where it can't matter: both in one component, or by the triangle inequality of the Jaccard distance to the hub.
+   are paired with the next hub (HUB_ROUNDS more), and what is left after that pairwise. A pair is only skipped
+   where it can't matter: both in one component, or a link is ruled out by sizes, by parity maps of the sets, or by
+   the triangle inequality of the Jaccard distances to the hub.
 So no link between different components is lost, and components are those of all links.
 
 Defined results: a null or wordless text has an empty set, size 0, and is a class of its own; fewer words than n
@@ -32,15 +34,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ._common import NOT_SPACE, Written, as_bytes, fresh, mix, runs_hashed, same, with_struct, words_hashed
 from ._graph import components
 
-HUB_ROUNDS = 2
-SET = StructType([StructField("n", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("sigs", ArrayType(LongType())), StructField("items", ArrayType(LongType()))])
+HUB_ROUNDS, MAP_WORDS = 1, 4
+SET = StructType([StructField("n", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("sigs", ArrayType(LongType())), StructField("items", ArrayType(LongType())), StructField("map", ArrayType(LongType()))])
 
 
 def shingle_set(data: bytes | None, n: int) -> np.ndarray:
@@ -89,6 +91,14 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def parity_map(items: np.ndarray) -> np.ndarray:
+    """64 * MAP_WORDS bits, each the parity of how many features fall on it; two maps differ in no more bits than their sets differ in features."""
+    place = items % np.uint64(64 * MAP_WORDS)
+    out = np.zeros(MAP_WORDS, np.uint64)
+    np.bitwise_xor.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def _sets(docs: DataFrame, n: int, percent: int, signed: bool) -> DataFrame:
     """doc_id, n, a, b and either signatures or the sets themselves."""
 
@@ -98,16 +108,16 @@ def _sets(docs: DataFrame, n: int, percent: int, signed: bool) -> DataFrame:
         for data in as_bytes(texts):
             items = shingle_set(data, n)
             if not len(items):
-                rows.append((0, 0, 0, [], []))
+                rows.append((0, 0, 0, [], [], []))
                 continue
             a, b = np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64).tolist()
-            rows.append((len(items), a, b, signatures(items, bands) if signed else [], [] if signed else items.view(np.int64)))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+            rows.append((len(items), a, b, signatures(items, bands) if signed else [], [] if signed else items.view(np.int64), parity_map(items) if signed else []))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], SET.names)
 
     df = with_struct(docs, "s", SET, ["text"], run)
-    return df.select("doc_id", "s.n", "s.a", "s.b", "s.sigs" if signed else "s.items")
+    return df.select("doc_id", "s.n", "s.a", "s.b", *(["s.sigs", "s.map"] if signed else ["s.items"]))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -116,61 +126,85 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     write = Written(docs.sparkSession, "ngram-join")
     signed = write(_sets(docs, n, percent, True))
     # Copies of a set meet map-side first, so that a set that many documents have is one row a task.
-    owners = write(signed.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.first("sigs").alias("sigs")).withColumn("vid", F.monotonically_increasing_id()))
+    owners = write(signed.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("sigs").alias("sigs")).withColumn("vid", F.monotonically_increasing_id()))
+    members = write(signed.select("doc_id", "n", "a", "b"))
+    write.drop(signed)
+    write.settle()
     signs = owners.select(F.explode("sigs").alias("sig"), "vid")
-    owners = owners.drop("sigs")
-    groups = signs.groupBy("sig").agg(F.min("vid").alias("hub"), F.max("vid").alias("top")).where("hub <> top").select("sig", "hub")
-    rows = write(signs.join(groups, "sig"))  # of groups with several members: sig, vid, hub
+    traits = owners.select("vid", "n", "map")
+    owners = owners.drop("sigs", "map", "n")
+    groups = signs.groupBy("sig").agg(F.min("vid").alias("least"), F.max("vid").alias("top"), F.count("*").alias("size")).where("least <> top").select("sig", "size")
+    rows = write(signs.join(groups, "sig"))
+    # The hub is the member that meets most others over all its signatures: of a family of edited copies that is the text they were made from.
+    met = rows.groupBy("vid").agg(F.sum("size").alias("met"))
+    bare, rows = rows, rows.drop("size").join(met, "vid")
+    first = F.max(F.struct("met", "vid"))
+    rows = write(rows.join(rows.groupBy("sig").agg(first.alias("h")).select("sig", F.col("h.vid").alias("hub")), "sig"))  # of groups with several members: sig, vid, met, hub
+    write.drop(bare)
+    write.settle()
 
     pairs = rows.where("vid <> hub").select("vid", "hub").distinct()
-    wanted = rows.select("vid").distinct()
-    wanted = wanted.join(owners, "vid").select("vid", F.col("owner").alias("doc_id"), "a", "b")
-    sets = docs.join(wanted.select("doc_id").distinct().withColumnRenamed("doc_id", "o"), same(F.col("doc_id"), F.col("o")), "left_semi")
-    sets = write(_sets(sets, n, percent, False).dropDuplicates(["a", "b"]).join(wanted.select("vid", "a", "b"), ["a", "b"]).select("vid", "items"))
+    def may_link(n: str, m: str, other_n: str, other_m: str) -> Column:
+        """Whether two sizes and parity maps allow a link."""
+        apart = sum((F.bit_count(F.get(m, F.lit(k)).bitwiseXOR(F.get(other_m, F.lit(k)))) for k in range(MAP_WORDS)), F.lit(0))
+        return (F.col(n) * 100 >= F.col(other_n) * percent) & (F.col(other_n) * 100 >= F.col(n) * percent) & (apart * (100 + percent) <= (F.col(n) + F.col(other_n)) * (100 - percent))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(vid, hub, far): far is the Jaccard distance."""
+        """(vid, hub, linked, far): far is the Jaccard distance. Only the texts of documents in pairs are read again."""
+        pairs = write(pairs)
+        if pairs.isEmpty():
+            return pairs.select("vid", "hub", F.lit(False).alias("linked"), F.lit(0.0).alias("far"))
+        wanted = pairs.select("vid").union(pairs.select("hub")).distinct().join(owners, "vid")
+        wanted = write(wanted.select("vid", F.col("owner").alias("o"), "a", "b"))
+        texts = docs.join(wanted.select("o").distinct(), same(F.col("doc_id"), F.col("o")), "left_semi")
+        sets = write(_sets(texts, n, percent, False).dropDuplicates(["a", "b"]).join(wanted.select("vid", "a", "b"), ["a", "b"]).select("vid", "items"))
         x = sets.select("vid", F.col("items").alias("x"))
         y = sets.select(F.col("vid").alias("hub"), F.col("items").alias("y"))
         both = pairs.join(x, "vid").join(y, "hub").select("vid", "hub", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
-        return both.select("vid", "hub", (F.col("i") * 100 >= F.lit(percent) * (F.col("t") - F.col("i"))).alias("linked"), (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("far"))
-
-    tested = write(verified(pairs))
-    first = rows
+        out = write(both.select("vid", "hub", (F.col("i") * 100 >= F.lit(percent) * (F.col("t") - F.col("i"))).alias("linked"), (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("far")))
+        write.drop(pairs, wanted, sets)
+        write.settle()
+        return out
+
+    hub_traits = traits.select(F.col("vid").alias("hub"), F.col("n").alias("other_n"), F.col("map").alias("other_map"))
+    pairs = pairs.join(traits, "vid").join(hub_traits, "hub").where(may_link("n", "map", "other_n", "other_map")).select("vid", "hub")
+    tested = verified(pairs)
+    start = rows
     links = tested.where("linked").select(F.col("vid").alias("u"), F.col("hub").alias("v"))
     label = components(links, write)
     reach = (100 - percent) / 100 + 1e-9
     for turn in range(HUB_ROUNDS + 1):
         # What hubs leave behind: members other than the hub, in groups with several components.
         marked = rows.where("vid <> hub").join(label.select(F.col("u").alias("vid"), F.col("v").alias("l")), "vid", "left").withColumn("l", F.coalesce("l", "vid"))
-        several = marked.groupBy("sig").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.min("vid").alias("next")).where("lo <> hi").select("sig", "next")
+        several = marked.groupBy("sig").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), first.alias("h")).where("lo <> hi").select("sig", F.col("h.vid").alias("next"))
         left = marked.join(several, "sig")
         if turn == 0:
             left = left.join(tested.select("vid", "hub", "far"), ["vid", "hub"], "left")
-        left = write(left.select("sig", "vid", F.col("next").alias("hub"), "l", "far"))
+        left = write(left.select("sig", "vid", "met", F.col("next").alias("hub"), "l", "far"))
         if left.isEmpty():
             break
+        full = left.join(traits, "vid")
+        near = may_link("n", "map", "other_n", "other_map") & F.coalesce(F.abs(F.col("far") - F.col("other_far")) <= reach, F.lit(True))
         if turn < HUB_ROUNDS:
-            heads = left.where("vid = hub").select("sig", F.col("l").alias("hl"), F.col("far").alias("hfar")).dropDuplicates(["sig"])
-            more = left.where("vid <> hub").join(heads, "sig").where((F.col("l") != F.col("hl")) & (F.abs(F.col("far") - F.col("hfar")) <= reach))
-            more = more.select("vid", "hub").distinct()
+            heads = full.where("vid = hub").select("sig", F.col("l").alias("other_l"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.col("map").alias("other_map")).dropDuplicates(["sig"])
+            more = full.where("vid <> hub").join(heads, "sig").where((F.col("l") != F.col("other_l")) & near).select("vid", "hub").distinct()
         else:
-            other = left.select("sig", F.col("vid").alias("w"), F.col("l").alias("wl"), F.col("far").alias("wfar"))
-            more = left.join(other, "sig").where((F.col("l") < F.col("wl")) & (F.abs(F.col("far") - F.col("wfar")) <= reach))
-            more = more.select("vid", F.col("w").alias("hub")).distinct()
-        found = write(verified(more).where("linked").select(F.col("vid").alias("u"), F.col("hub").alias("v")))
+            other = full.select("sig", F.col("vid").alias("other"), F.col("l").alias("other_l"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.col("map").alias("other_map"))
+            more = full.join(other, "sig").where((F.col("l") < F.col("other_l")) & near).select("vid", F.col("other").alias("hub")).distinct()
+        seen = verified(more)
+        found = write(seen.where("linked").select(F.col("vid").alias("u"), F.col("hub").alias("v")))
         if turn:
             write.drop(before)
         before = left
-        rows = left.select("sig", "vid", "hub", "far")
+        rows = left.select("sig", "vid", "met", "hub", "far")
         if not found.isEmpty():
             label = components(label.unionByName(found), write)
         write.drop(found)
-    write.drop(first, tested, sets)
+    write.drop(start)
     named = owners.join(label.select(F.col("u").alias("vid"), F.col("v").alias("l")), "vid", "left").withColumn("l", F.coalesce("l", "vid"))
     least = named.groupBy("l").agg(F.min("owner").alias("component"))
     named = named.join(least, "l").select("a", "b", "component")
-    out = signed.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
+    out = members.join(named, ["a", "b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
