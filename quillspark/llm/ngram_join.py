@@ -41,7 +41,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from ._common import NOT_SPACE, Written, as_bytes, fresh, mix, runs_hashed, same, with_struct, words_hashed
 from ._graph import components
 
-HUB_ROUNDS, MAP_WORDS = 1, 4
+HUB_ROUNDS, MAP_WORDS = 1, 32
 SET = StructType([StructField("n", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("sigs", ArrayType(LongType())), StructField("items", ArrayType(LongType())), StructField("map", ArrayType(LongType()))])
 
 
