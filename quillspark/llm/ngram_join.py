@@ -50,6 +50,11 @@ def shingle_set(data: bytes | None, n: int) -> np.ndarray:
     return np.unique(runs_hashed(words_hashed(data or b"", NOT_SPACE)[2], n))
 
 
+def set_hash(items: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set; zeros for the empty one."""
+    return tuple(np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64).tolist()) if len(items) else (0, 0)
+
+
 class Bands:
     """Size bands and their numbers of differences."""
 
@@ -110,7 +115,7 @@ def _sets(docs: DataFrame, n: int, percent: int, signed: bool) -> DataFrame:
             if not len(items):
                 rows.append((0, 0, 0, [], [], []))
                 continue
-            a, b = np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64).tolist()
+            a, b = set_hash(items)
             rows.append((len(items), a, b, signatures(items, bands) if signed else [], [] if signed else items.view(np.int64), parity_map(items) if signed else []))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
@@ -120,9 +125,8 @@ def _sets(docs: DataFrame, n: int, percent: int, signed: bool) -> DataFrame:
     return df.select("doc_id", "s.n", "s.a", "s.b", *(["s.sigs", "s.map"] if signed else ["s.items"]))
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id. Documents link when 100 * common n-grams >= percent * all n-grams of both."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, a, b) of each row of `docs` (doc_id, text), and (a, b, owner, l) of each set that is not empty: its least id and its component."""
     write = Written(docs.sparkSession, "ngram-join")
     signed = write(_sets(docs, n, percent, True))
     # Copies of a set meet map-side first, so that a set that many documents have is one row a task.
@@ -201,7 +205,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             label = components(label.unionByName(found), write)
         write.drop(found)
     write.drop(start)
-    named = owners.join(label.select(F.col("u").alias("vid"), F.col("v").alias("l")), "vid", "left").withColumn("l", F.coalesce("l", "vid"))
+    return members, owners.join(label.select(F.col("u").alias("vid"), F.col("v").alias("l")), "vid", "left").select("a", "b", "owner", F.coalesce("l", "vid").alias("l"))
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id. Documents link when 100 * common n-grams >= percent * all n-grams of both."""
+    members, named = _labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), n, percent)
     least = named.groupBy("l").agg(F.min("owner").alias("component"))
     named = named.join(least, "l").select("a", "b", "component")
     out = members.join(named, ["a", "b"], "left")
@@ -209,13 +218,23 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each class (the one of least id); all columns as they were. Rows that repeat an id are one document, of which one row stays."""
-    found = classes(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    key, rank = fresh(docs, "kept_id"), fresh(docs, "rank")
-    kept = found.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    out = docs.join(kept, same(F.col(id_col), F.col(key)), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    return out.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*docs.columns)
+    """docs with one document of each class (the one of least id, null ids last, then of least hash of its set); all columns as they were. A document is an id and a set: rows that share both are one, of which one row stays, and rows that share an id alone are not."""
+    members, named = _labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), n, percent)
+    least = named.groupBy("l").agg(F.min(F.struct(F.col("owner").isNull().alias("none"), "owner", "a", "b")).alias("r")).select("r.owner", "r.a", "r.b")
+    kept = least.unionByName(members.where("n = 0").select(F.col("doc_id").alias("owner"), "a", "b").distinct())
+    key, rank = fresh(docs, "kept_key"), fresh(docs, "rank")
+    kept = kept.select(F.struct(F.col("owner").alias("id"), "a", "b").alias(key))
+
+    def run(texts: pa.Array) -> pa.StructArray:
+        rows = [set_hash(shingle_set(data, n)) for data in as_bytes(texts)]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    out = with_struct(docs, key, StructType([StructField("a", LongType()), StructField("b", LongType())]), [text_col], run)
+    out = out.withColumn(key, F.struct(F.col(id_col).alias("id"), F.col(key)["a"].alias("a"), F.col(key)["b"].alias("b")))
+    if not members.groupBy("doc_id", "a", "b").count().where("count > 1").isEmpty():
+        # Spark cuts each task's rows to one a key before they are shuffled, so a key that many rows have is no large task.
+        out = out.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text_col)))).where(F.col(rank) == 1)
+    return out.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def reference(docs: list[tuple[int, str | None]], n: int = 3, percent: int = 90) -> dict[int, tuple[int, int]]:

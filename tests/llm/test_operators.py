@@ -137,6 +137,15 @@ def test_ngram_join_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
 
 
+def test_rows_that_share_an_id_are_told_apart_by_their_texts(spark):
+    texts = [f"t{i} a{i} b{i} c{i} d{i} e{i}" for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (1, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4].upper()), (4, texts[3]), (None, None), (6, ""), (6, None), (7, " ")]
+    kept = sorted((str(r.doc_id), (r.text or "").strip().lower()) for r in ngram_join.keep_one(clashing(spark, rows)).collect())
+    assert kept == sorted([("None", texts[0]), ("None", texts[1]), ("1", texts[2]), ("4", texts[3]), ("5", texts[4]), ("None", ""), ("6", ""), ("7", "")])
+    alone = [(None, texts[0]), (None, texts[1]), (2, texts[1])]  # no row twice: the other plan
+    assert sorted((str(r.doc_id), r.text) for r in ngram_join.keep_one(docs_of(spark, alone)).collect()) == [("2", texts[1]), ("None", texts[0])]
+
+
 # --- 3
 
 
