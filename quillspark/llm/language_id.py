@@ -1,9 +1,12 @@
 """Language identification by conditional compression.
 
 Each language has a zstandard raw-content dictionary: normalised text of a bounded sample of labelled documents.
-A document is normalised (lower case, runs of anything but letters become one space), compressed whole with each
-dictionary (a text under SHORT bytes twice over, as sizes are whole bytes and a frame has a fixed cost), and gets the language whose dictionary makes it smallest. `margin` is how much smaller that is than
-the runner-up, as a share; a margin under MARGIN is narrow and the document is rejected (`accepted` is false).
+A document is normalised (lower case, runs of anything but letters become one space) and all of it is compressed with
+each dictionary (a text under SHORT bytes twice over, as sizes are whole bytes and a frame has a fixed cost). A text over
+BLOCK bytes is cut into equal blocks, each compressed with the dictionary alone and their sizes summed: what a dictionary
+saves of one frame is bounded, so over a long frame the margin would shrink with length. The document gets the language
+whose dictionary makes it smallest. `margin` is how much smaller that is than the runner-up, as a share; a margin under
+MARGIN is narrow and the document is rejected (`accepted` is false).
 
 The sample: per language the DOCS_A_LANGUAGE labelled documents of lowest hash (chosen by a partial top-k before
 any shuffle), cut after DICTIONARY_BYTES. Both bounds are parameters. The dictionaries are the only broadcast:
@@ -27,7 +30,7 @@ from ._common import fresh, with_struct
 DOCS_A_LANGUAGE, DICTIONARY_BYTES, MOST_LANGUAGES = 400, 98_304, 400
 LEVEL, MARGIN = 9, 0.002
 #: A frame costs more than a match in a few words saves; twice the text shows the saving.
-SHORT = 400
+SHORT, BLOCK = 400, 32_768
 
 GUESS = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType()), StructField("accepted", BooleanType())])
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -88,7 +91,9 @@ def guess(text: str | None, models: list[tuple[str, zstandard.ZstdCompressor]],
     data = normalise(text)
     if len(data) < SHORT:
         data *= 2
-    sizes = sorted((len(c.compress(data)), lang) for lang, c in models)
+    step = -(-len(data) // -(-len(data) // BLOCK))
+    parts = [data[i : i + step] for i in range(0, len(data), step)]
+    sizes = sorted((sum(len(c.compress(x)) for x in parts), lang) for lang, c in models)
     best, lang = sizes[0]
     gap = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
     return lang, 0.5 + 0.5 * min(1.0, gap / 0.1), gap, gap >= margin

@@ -250,6 +250,24 @@ def test_language_of_odd_texts(spark, corpus):
     assert language_id.classify(t.limit(0)).count() == 0
 
 
+def test_the_margin_does_not_shrink_with_length(sf):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    by = {}
+    for r in rows:
+        if r["text"] and r["lang"]:
+            by.setdefault(r["lang"], []).append(r["text"])
+    models = language_id.compressors({lang: b"".join(language_id.normalise(t[:1500]) for t in texts[::2])[: language_id.DICTIONARY_BYTES] for lang, texts in by.items()})
+    rng = random.Random(2)
+    words = " ".join(by["en"][1::2])[:200_000].split(" ")
+    long = " ".join(rng.choice(words) for _ in range(1_000_000))
+    assert len(long) > 5_000_000
+    small, large = (language_id.guess(x, models) for x in (long[:100_000], long))
+    assert small[0] == large[0] == "en" and small[3] and large[3]
+    assert large[2] > 0.8 * small[2]
+
+
 # --- 6
 
 
