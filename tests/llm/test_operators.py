@@ -291,6 +291,33 @@ def test_edited_copies_are_found(spark):
     assert media.copies(t.limit(0)).count() == 0
 
 
+def photo(rng, n=160):
+    """Smooth noise of several sizes, more like a photograph than a mosaic is."""
+    out = sum(media._resized(rng.normal(size=(k, k)), n / k) / k**0.6 for k in (4, 8, 16, 32))
+    return np.clip(128 + 50 * (out - out.mean()) / out.std(), 0, 255)
+
+
+def test_copies_that_were_rescaled_turned_or_roughened_are_found(spark):
+    rng = np.random.RandomState(11)
+
+    def turned(px):
+        y, x = np.mgrid[: px.shape[0], : px.shape[1]] - px.shape[0] / 2
+        c, s = np.cos(np.radians(10)), np.sin(np.radians(10))
+        at = [np.clip(v + px.shape[0] / 2, 0, px.shape[0] - 1.001) for v in (s * x + c * y, c * x - s * y)]
+        (i, j), (fy, fx) = [v.astype(int) for v in at], [v % 1 for v in at]
+        return (px[i, j] * (1 - fx) + px[i, j + 1] * fx) * (1 - fy) + (px[i + 1, j] * (1 - fx) + px[i + 1, j + 1] * fx) * fy
+
+    edits = [lambda px: media._resized(px, 0.5), turned, lambda px: np.clip(px + rng.normal(0, 6, px.shape), 0, 255), lambda px: px // 16 * 16 + 8]
+    rows = []
+    for i in range(48):
+        px = photo(rng)
+        rows += [(2 * i, media.pgm(px)), (2 * i + 1, media.pgm(edits[i % 4](px)))]
+    by = {r.media_id: r.class_id for r in media.copies(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    found = [sum(by[2 * i] == by[2 * i + 1] for i in range(k, 48, 4)) for k in range(4)]
+    assert len({by[2 * i] for i in range(48)}) == 48
+    assert found[0] >= 10 and found[1] >= 2 and found[2] >= 11 and found[3] >= 11, found
+
+
 def test_png_is_read():
     import struct
 
