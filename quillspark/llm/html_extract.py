@@ -2,11 +2,12 @@
 
 Markup is stripped first: comments, scripts, styles, forms and elements that are boilerplate by their tag or by
 the words of their class, id or role are cut out, block tags become line ends, and inline tags vanish. Every
-block is then a line. The distribution is the text length of a sliding window of lines; it surges where the
-article starts and dives where it ends, and the text between surge and dive is kept. Lines cut out as
-boilerplate, and link text, count nothing and break the windows they lie in. Where the page marks its article
-(article, main, or role=main), a line inside weighs at least a surge and one outside nothing, because lengths
-alone cannot tell a short heading or last line of the article from a caption outside it.
+block is then a line. The distribution is the text length of a sliding window of lines, boilerplate lines taken out; it
+surges where the article starts and dives where it ends, and the text between every surge and its dive is kept. After
+the dive has begun a span ends where boilerplate was cut out. Link text counts nothing; a line of links alone is kept
+inside a span, but WINDOW of them end it. Where the page marks its article (article, main, or role=main), every line
+inside is kept and none outside, because lengths alone cannot tell a short heading or last line of the article from a
+caption outside it.
 
 Defined results: null or empty html, or a page without text, gives an empty text; unclosed tags end with the
 block that holds them; every row gives a row, repeated ones too. Columns other than those named are not read.
@@ -184,33 +185,35 @@ def distribution(lengths: list[int], window: int = WINDOW) -> list[int]:
     return out
 
 
-def between(lengths: list[int]) -> tuple[int, int]:
-    """The span of lines (start, end) with the most text between a surge and the dive after it."""
+def between(lengths: list[int], gaps: list[bool]) -> list[tuple[int, int]]:
+    """All spans of lines (start, end) from a surge to the dive after it. gaps: whether something was cut out before the line."""
     dist = distribution(lengths)
-    best, i = (0, 0, 0), 0
+    out, i = [], 0
     while i < len(dist):
         if dist[i] >= SURGE and lengths[i]:
             j = i
-            while j < len(dist) and dist[j] and (dist[j] >= SURGE or lengths[j]):
+            while j < len(dist) and (dist[j] >= SURGE or (lengths[j] and not gaps[j])):
                 j += 1
-            best = max(best, (sum(lengths[i:j]), -i, j))
+            out.append((i, j))
             i = j
-        i += 1
-    return (-best[1], best[2]) if best[0] else (0, len(lengths))
+        else:
+            i += 1
+    return out
 
 
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    rows = lines(page)
-    if any(a and not b for _, b, a, _ in rows):
-        # What was cut out inside a marked article is not there; every line of the article has the weight of a surge.
-        rows = [x for x in rows if not x[1]]
-        weights = [len(t) + SURGE if a else 0 for t, _, a, _ in rows]
-    else:
-        weights = [0 if b else len(t) - linked for t, b, _, linked in rows]
-    start, end = between(weights)
-    return " ".join(x[0] for x, w in zip(rows[start:end], weights[start:end], strict=True) if w > 0)
+    rows, gaps, gap = [], [], False
+    for text, boiler, marked, linked in lines(page):
+        if not boiler:
+            rows.append((text, marked, len(text) - linked))
+            gaps.append(gap)
+        gap = boiler
+    if any(marked for _, marked, _ in rows):
+        return " ".join(text for text, marked, _ in rows if marked)
+    spans = between([n for _, _, n in rows], gaps)
+    return " ".join(text for i, j in spans for text, _, _ in rows[i:j]) if spans else " ".join(text for text, _, n in rows if n > 0)
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -454,6 +454,16 @@ def test_distribution_finds_the_text_of_an_unmarked_page():
     assert got.startswith("Title here word") and got.endswith("4. End.")
 
 
+def test_parts_after_boilerplate_stay():
+    para = lambda k: f"<p>{k} {'word ' * 40}</p>"
+    ads = "<div class=ad>one</div><div class=share>two</div><div class=related>three</div>"
+    page = f"<body><div><h2>Title</h2>{ads}{para('A')}{ads}<p>Short.</p>{ads}{para('B')}<p><a href=x>A link.</a></p>{para('C')}<ul>{'<li><a href=y>list</a>' * 3}</ul>{para('D')}</div></body>"
+    got = html_extract.extract(page)
+    assert [w for w in got.split() if w != "word"] == ["Title", "A", "Short.", "B", "A", "link.", "C", "D"]
+    marked = f"<body><article>{para('A')}</article><div>x</div><div>y</div><div>z</div><article><p>B</p></article></body>"
+    assert [w for w in html_extract.extract(marked).split() if w != "word"] == ["A", "B"]
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "no markup at all"), (5, "u", "<p>" * 3000), (6, "u", "<!-- open <p>x"), (7, "u", "<article><p title='>'>a &#233; &unknown; b</p>")]
     t = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("main", F.lit(1)).withColumn("m", F.lit(1))
