@@ -318,6 +318,16 @@ def test_copies_that_were_rescaled_turned_or_roughened_are_found(spark):
     assert found[0] >= 10 and found[1] >= 2 and found[2] >= 11 and found[3] >= 11, found
 
 
+def test_images_of_equal_pixels_are_one_class(spark):
+    """Small pictures of too few points for a link are copies all the same when their pixels are equal."""
+    px = np.full((34, 34), 90, np.uint8)
+    px[14:20, 14:20] = 200
+    rows = [(i, media.pgm(px)) for i in range(5, 9)] + [(1, media.pgm(np.zeros((34, 34)))), (2, media.pgm(np.zeros((34, 34)))), (7, media.pgm(px))]
+    got = sorted((r.media_id, r.class_id) for r in media.copies(spark.createDataFrame(rows, "media_id long, image binary")).collect())
+    assert 0 < len(media.describe(media.decode(rows[0][1]))) < media.VOTES
+    assert got == [(1, 1), (2, 2), (5, 5), (6, 5), (7, 5), (7, 5), (8, 5)]
+
+
 def test_png_is_read():
     import struct
 
