@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests, one machine) a local one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local folder, but only for a driver that runs all tasks itself."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/checkpoints")
-    return "file:///tmp/checkpoints"
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 class Written:
@@ -57,6 +61,23 @@ class Written:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of the broadcast in `rows_of`, whatever the tables hold: 2**20 numbers, about 16 MB.
+MARKS = 1 << 20
+
+
+def rows_of(df: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows of df whose `cols` are found in `wanted` (null meets null). Most others go before the shuffle: a hash of `cols` has MARKS values, and those that `wanted` has are broadcast."""
+    mark = fresh(df, "mark")
+    hashed = lambda: F.xxhash64(*[F.col(c) for c in cols]).bitwiseAND(F.lit(MARKS - 1))
+    keys = wanted.select(*cols).distinct()
+    few = df.withColumn(mark, hashed()).join(F.broadcast(keys.select(hashed().alias(mark)).distinct()), mark, "left_semi").drop(mark)
+    other = keys.select(*[F.col(c).alias(f"__{c}") for c in cols])
+    on = same(F.col(cols[0]), F.col(f"__{cols[0]}"))
+    for c in cols[1:]:
+        on = on & same(F.col(c), F.col(f"__{c}"))
+    return few.join(other, on, "left_semi")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     have = {c.lower() for c in df.columns}
@@ -189,5 +210,3 @@ def same(a, b):
     """Null-safe equality, for joins on columns that may be null."""
     return a.eqNullSafe(b)
 
-
-__all__ = ["ALNUM", "F", "NOT_SPACE", "Written", "as_bytes", "chunks", "fresh", "mix", "runs_hashed", "same", "shared_dir", "table", "with_struct", "words_hashed"]

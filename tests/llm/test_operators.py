@@ -347,17 +347,24 @@ def test_line_dedup_equals_brute_force(spark, corpus):
     want = line_dedup.reference(rows)
     got = {r.doc_id: r for r in line_dedup.report(clashing(spark, rows)).collect()}
     assert {k: r.text for k, r in got.items()} == want
-    assert got[4000].n_lines == 5 and got[4000].n_removed == 2
+    assert got[4000].n_lines == 5 and got[4000].n_removed == 3
     assert sum(r.n_removed > 0 for r in got.values()) > 20
 
 
 def test_line_dedup_at_a_lower_similarity(spark, corpus):
-    got = {r.doc_id: r.text for r in line_dedup.report(docs_of(spark, corpus), percent=60, min_words=3).collect()}
-    assert got == line_dedup.reference(corpus, 60, 3)
+    got = {r.doc_id: r.text for r in line_dedup.report(docs_of(spark, corpus), percent=60).collect()}
+    assert got == line_dedup.reference(corpus, 60)
 
 
 def test_line_dedup_edges(spark):
     line = "one two three four five six"
+    assert {r.doc_id: r.text for r in line_dedup.report(docs_of(spark, [(1, "a\n\n\n A \nb"), (2, "b\t\nc")])).collect()} == {1: "a\n\n\nb", 2: "c"}
+    wide = [(0, line), (2**62, line + " "), (-(2**62), "x " + line)]
+    assert {r.doc_id: r.text for r in line_dedup.report(docs_of(spark, wide)).collect()} == line_dedup.reference(wide)
+    named = spark.createDataFrame([("b", line), ("a", line), (None, "x"), ("c", "x\ny")], "doc_id string, text string")
+    assert {r.doc_id: r.text for r in line_dedup.report(named).collect()} == {"a": line, "b": "", None: "x", "c": "y"}
+    shared = [(5, line + "\nnew"), (5, "other words\n" + line), (4, line)]
+    assert sorted(r.text for r in line_dedup.report(docs_of(spark, shared)).collect()) == ["\nnew"[1:], line, "other words"]
     rows = [(2, line), (1, line), (1, line), (None, line), (3, None), (4, "")]
     got = sorted((str(r.doc_id), r.text) for r in line_dedup.report(docs_of(spark, rows)).collect())
     assert got == [("1", ""), ("1", ""), ("2", ""), ("3", None), ("4", ""), ("None", line)]
@@ -366,6 +373,17 @@ def test_line_dedup_edges(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, line), (3, "new"), (4, "")]
 
 
+@pytest.mark.parametrize("percent", [90, 60])
+def test_line_dedup_with_hot_words_equals_brute_force(spark, corpus, monkeypatch, percent):
+    """Every word of more than two lines goes on to pairs and then to triples of words."""
+    rng = random.Random(5)
+    lines = [" ".join(["rare", *rng.sample("abcdefghijklmnopqrstuvwxyz", 11)]) for _ in range(60)]
+    near = [" ".join(x.split()[:-1] + ["new"]) for x in lines[:30]]
+    rows = [*corpus[:60], *enumerate(["\n".join(lines + near), "\n".join(x + " more" for x in near)], 9000)]
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    assert {r.doc_id: r.text for r in line_dedup.report(docs_of(spark, rows), percent=percent).collect()} == line_dedup.reference(rows, percent)
+
+
 # --- 8
 
 
