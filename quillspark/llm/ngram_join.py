@@ -10,7 +10,7 @@ A set signs for its own band and for the next.
 Plan, with rows in the order of documents:
 1. One pass over the texts writes (id, size, 128-bit hash of the set, signatures). Equal sets become one
    representative by an aggregation; copies never meet again until the end.
-2. Signatures of representatives are grouped; groups of one vanish. A group's hub is the member that meets most
+2. Signatures of representatives are grouped, in PARTS by their hash to bound the disk; groups of one vanish. A group's hub is the member that meets most
    others over all its signatures. Members join their hub, not each other, so a group of m makes m pairs. The joins
    on the signature can be split where they are skewed, as their other side has one row a key.
 3. Pairs are made distinct; those that sizes and parity maps of the sets still allow are verified exactly on the
@@ -38,10 +38,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ._common import NOT_SPACE, Written, as_bytes, fresh, mix, runs_hashed, same, with_struct, words_hashed
+from ._common import NOT_SPACE, Written, as_bytes, fresh, mix, rows_of, runs_hashed, same, with_struct, words_hashed
 from ._graph import components
 
-HUB_ROUNDS, MAP_WORDS = 1, 32
+#: PARTS: the signatures are looked at in so many parts, one after another, so that no more than one part's shuffle files are there at once.
+HUB_ROUNDS, PARTS, MAP_SHARE = 1, 4, 24
 SET = StructType([StructField("n", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("sigs", ArrayType(LongType())), StructField("items", ArrayType(LongType())), StructField("map", ArrayType(LongType()))])
 
 
@@ -97,9 +98,10 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def parity_map(items: np.ndarray) -> np.ndarray:
-    """64 * MAP_WORDS bits, each the parity of how many features fall on it; two maps differ in no more bits than their sets differ in features."""
-    place = items % np.uint64(64 * MAP_WORDS)
-    out = np.zeros(MAP_WORDS, np.uint64)
+    """Bits that each hold the parity of how many features fall on them; two maps differ in no more bits than their sets differ in features. The words are a power of two, one for MAP_SHARE features or fewer, so that maps of long sets tell as much as those of short ones; halves laid over each other are the map of half the size."""
+    words = 1 << max(0, (len(items) - 1) // MAP_SHARE).bit_length()
+    place = items % np.uint64(64 * words)
+    out = np.zeros(words, np.uint64)
     np.bitwise_xor.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
     return out.view(np.int64)
 
@@ -122,45 +124,62 @@ def _sets(docs: DataFrame, n: int, percent: int, signed: bool) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], SET.names)
 
     df = with_struct(docs, "s", SET, ["text"], run)
-    return df.select("doc_id", "s.n", "s.a", "s.b", *(["s.sigs", "s.map"] if signed else ["s.items"]))
+    return df.select(*[c for c in docs.columns if c != "text"], "s.n", "s.a", "s.b", *(["s.sigs", "s.map"] if signed else ["s.items"]))
+
+
+def _folded(m: Column, words: Column) -> Column:
+    """A parity map in half its words where it has more than `words`."""
+    return F.when(F.size(m) > words, F.zip_with(F.slice(m, F.lit(1), words), F.slice(m, words + 1, words), lambda x, y: x.bitwiseXOR(y))).otherwise(m)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """In how many bits two parity maps differ, of which one has at most twice the other's words."""
+    words = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(_folded(x, words), _folded(y, words), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, z: t + z)
 
 
 def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, a, b) of each row of `docs` (doc_id, text), and (a, b, owner, l) of each set that is not empty: its least id and its component."""
+    """(doc_id, doc, n, a, b) of each row of `docs` (doc_id, text), doc the text's hash; and (a, b, owner, l) of each set that is not empty: its least id and its component."""
     write = Written(docs.sparkSession, "ngram-join")
-    signed = write(_sets(docs, n, percent, True))
+    signed = write(_sets(docs.withColumn("doc", F.xxhash64("text")), n, percent, True))
     # Copies of a set meet map-side first, so that a set that many documents have is one row a task.
     owners = write(signed.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("sigs").alias("sigs")).withColumn("vid", F.monotonically_increasing_id()))
-    members = write(signed.select("doc_id", "n", "a", "b"))
+    members = write(signed.select("doc_id", "doc", "n", "a", "b"))
     write.drop(signed)
     write.settle()
-    signs = owners.select(F.explode("sigs").alias("sig"), "vid")
-    traits = owners.select("vid", "n", "map")
-    owners = owners.drop("sigs", "map", "n")
-    groups = signs.groupBy("sig").agg(F.min("vid").alias("least"), F.max("vid").alias("top"), F.count("*").alias("size")).where("least <> top").select("sig", "size")
-    rows = write(signs.join(groups, "sig"))
+    rows = None
+    for part in range(PARTS):
+        signs = owners.select(F.explode("sigs").alias("sig"), "vid", "n").where(F.pmod("sig", F.lit(PARTS)) == part)
+        groups = signs.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+        some = write(signs.join(groups, "sig"))
+        write.settle()
+        rows = some if rows is None else rows.unionByName(some)
     # The hub is the member that meets most others over all its signatures: of a family of edited copies that is the text they were made from.
     met = rows.groupBy("vid").agg(F.sum("size").alias("met"))
     bare, rows = rows, rows.drop("size").join(met, "vid")
-    first = F.max(F.struct("met", "vid"))
-    rows = write(rows.join(rows.groupBy("sig").agg(first.alias("h")).select("sig", F.col("h.vid").alias("hub")), "sig"))  # of groups with several members: sig, vid, met, hub
-    write.drop(bare)
+    first = F.max(F.struct("met", "vid", "n"))
+    rows = write(rows.join(rows.groupBy("sig").agg(first.alias("h")).select("sig", F.col("h.vid").alias("hub"), F.col("h.n").alias("hub_n")), "sig"))  # of groups with several members: sig, vid, n, met, hub, hub_n
     write.settle()
+    traits = write(owners.select("vid", "n", "map").join(rows.select("vid").distinct(), "vid", "left_semi"))
+    bare = owners
+    owners = write(owners.select("vid", "owner", "a", "b"))
+    write.drop(bare)
+
+    def sized(n: str, m: str) -> Column:
+        """Whether two sizes allow a link."""
+        return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
-    pairs = rows.where("vid <> hub").select("vid", "hub").distinct()
     def may_link(n: str, m: str, other_n: str, other_m: str) -> Column:
         """Whether two sizes and parity maps allow a link."""
-        apart = sum((F.bit_count(F.get(m, F.lit(k)).bitwiseXOR(F.get(other_m, F.lit(k)))) for k in range(MAP_WORDS)), F.lit(0))
-        return (F.col(n) * 100 >= F.col(other_n) * percent) & (F.col(other_n) * 100 >= F.col(n) * percent) & (apart * (100 + percent) <= (F.col(n) + F.col(other_n)) * (100 - percent))
+        return sized(n, other_n) & F.when(sized(n, other_n), _apart(F.col(m), F.col(other_m)) * (100 + percent) <= (F.col(n) + F.col(other_n)) * (100 - percent))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(vid, hub, linked, far): far is the Jaccard distance. Only the texts of documents in pairs are read again."""
         pairs = write(pairs)
         if pairs.isEmpty():
             return pairs.select("vid", "hub", F.lit(False).alias("linked"), F.lit(0.0).alias("far"))
-        wanted = pairs.select("vid").union(pairs.select("hub")).distinct().join(owners, "vid")
-        wanted = write(wanted.select("vid", F.col("owner").alias("o"), "a", "b"))
-        texts = docs.join(wanted.select("o").distinct(), same(F.col("doc_id"), F.col("o")), "left_semi")
+        wanted = write(owners.join(pairs.select("vid").union(pairs.select("hub")).distinct(), "vid", "left_semi"))
+        texts = rows_of(docs, wanted.select(F.col("owner").alias("doc_id")), ["doc_id"])
         sets = write(_sets(texts, n, percent, False).dropDuplicates(["a", "b"]).join(wanted.select("vid", "a", "b"), ["a", "b"]).select("vid", "items"))
         x = sets.select("vid", F.col("items").alias("x"))
         y = sets.select(F.col("vid").alias("hub"), F.col("items").alias("y"))
@@ -171,6 +190,7 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         return out
 
     hub_traits = traits.select(F.col("vid").alias("hub"), F.col("n").alias("other_n"), F.col("map").alias("other_map"))
+    pairs = rows.where((F.col("vid") != F.col("hub")) & sized("n", "hub_n")).select("vid", "hub").distinct()
     pairs = pairs.join(traits, "vid").join(hub_traits, "hub").where(may_link("n", "map", "other_n", "other_map")).select("vid", "hub")
     tested = verified(pairs)
     start = rows
@@ -184,10 +204,10 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         left = marked.join(several, "sig")
         if turn == 0:
             left = left.join(tested.select("vid", "hub", "far"), ["vid", "hub"], "left")
-        left = write(left.select("sig", "vid", "met", F.col("next").alias("hub"), "l", "far"))
+        left = write(left.select("sig", "vid", "n", "met", F.col("next").alias("hub"), "l", "far"))
         if left.isEmpty():
             break
-        full = left.join(traits, "vid")
+        full = left.join(traits.select("vid", "map"), "vid")
         near = may_link("n", "map", "other_n", "other_map") & F.coalesce(F.abs(F.col("far") - F.col("other_far")) <= reach, F.lit(True))
         if turn < HUB_ROUNDS:
             heads = full.where("vid = hub").select("sig", F.col("l").alias("other_l"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.col("map").alias("other_map")).dropDuplicates(["sig"])
@@ -200,7 +220,7 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         if turn:
             write.drop(before)
         before = left
-        rows = left.select("sig", "vid", "met", "hub", "far")
+        rows = left.select("sig", "vid", "n", "met", "hub", "far")
         if not found.isEmpty():
             label = components(label.unionByName(found), write)
         write.drop(found)
@@ -222,19 +242,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     members, named = _labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), n, percent)
     least = named.groupBy("l").agg(F.min(F.struct(F.col("owner").isNull().alias("none"), "owner", "a", "b")).alias("r")).select("r.owner", "r.a", "r.b")
     kept = least.unionByName(members.where("n = 0").select(F.col("doc_id").alias("owner"), "a", "b").distinct())
+    # Of rows that share id and set the text of least hash stays.
+    kept = members.join(kept.select(F.col("owner").alias("o"), F.col("a").alias("x"), F.col("b").alias("y")), same(F.col("doc_id"), F.col("o")) & (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_semi")
+    kept = kept.groupBy("doc_id", "a", "b").agg(F.min("doc").alias("doc"), F.count("*").alias("times"))
     key, rank = fresh(docs, "kept_key"), fresh(docs, "rank")
-    kept = kept.select(F.struct(F.col("owner").alias("id"), "a", "b").alias(key))
-
-    def run(texts: pa.Array) -> pa.StructArray:
-        rows = [set_hash(shingle_set(data, n)) for data in as_bytes(texts)]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    out = with_struct(docs, key, StructType([StructField("a", LongType()), StructField("b", LongType())]), [text_col], run)
-    out = out.withColumn(key, F.struct(F.col(id_col).alias("id"), F.col(key)["a"].alias("a"), F.col(key)["b"].alias("b")))
-    if not members.groupBy("doc_id", "a", "b").count().where("count > 1").isEmpty():
+    out = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc")))
+    if not kept.where("times > 1").isEmpty():
         # Spark cuts each task's rows to one a key before they are shuffled, so a key that many rows have is no large task.
-        out = out.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text_col)))).where(F.col(rank) == 1)
-    return out.join(kept, key, "left_semi").select(*docs.columns)
+        out = out.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(rank) == 1)
+    return out.join(kept.select(F.struct(F.col("doc_id").alias("id"), "doc").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 def reference(docs: list[tuple[int, str | None]], n: int = 3, percent: int = 90) -> dict[int, tuple[int, int]]:
