@@ -78,15 +78,17 @@ def _may_match(x: str, y: str, percent: int, level: int) -> Column:
     return wide | (near & room & apart)
 
 
-def _ranked(lines: DataFrame, ranks: list[int], percent: int, level: int) -> DataFrame:
-    """lines with n (size), p (how many words a prefix has), map, and w: the words of a prefix longer by level - 1, rarest first. A word is its rank and 56 bits of its hash, so that numbers sort by rarity."""
+def _traits(lines: DataFrame) -> DataFrame:
+    """lines with n (size) and map."""
+    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (w.bitwiseAND(F.lit(_bits(56))) % MAP_BITS).cast("int"))))
+    return lines.withColumns({"n": F.size("w").cast("long"), "map": parity})
+
+
+def _prefix(ranks: list[int], percent: int, level: int) -> Column:
+    """The words of a line's prefix, longer by level - 1, rarest first. A word is its rank and 56 bits of its hash, so that numbers sort by rarity."""
     table = F.split(F.lit(",".join(str(r << 56) for r in ranks)), ",").cast("array<bigint>")  # a constant
     ranked = lambda h: F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(_bits(56))))
-    parity = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (w.bitwiseAND(F.lit(_bits(56))) % MAP_BITS).cast("int"))))
-    keep = [c for c in lines.columns if c != "w"]
-    df = lines.select(*keep, F.size("w").cast("long").alias("n"), parity.alias("map"), F.sort_array(F.transform("w", ranked)).alias("w"))
-    df = df.withColumn("p", (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("int"))
-    return df.withColumn("w", F.slice("w", F.lit(1), F.col("p") + (level - 1)))
+    return F.slice(F.sort_array(F.transform("w", ranked)), F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + level).cast("int"))
 
 
 def _load(at: Column) -> Column:
@@ -108,7 +110,8 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     else:
         place = F.struct(F.col("id").isNotNull().alias("named"), F.col("id").alias("id"), F.col("pos").alias("pos"))
     lines = docs.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select(place.alias("place"), "doc", F.sort_array(_words(F.col("line"))).alias("w")).where(F.size("w") > 0)
+    # The filter looks at the line, not at its words: Spark would move that below the projection and hash all words twice.
+    lines = lines.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").select(place.alias("place"), "doc", F.sort_array(_words(F.col("line"))).alias("w"))
     lines = write(lines.select("place", "doc", F.xxhash64("w").alias("mark"), F.xxhash64(F.lit("second"), "w").alias("mark2"), "w"))
     ranks = rarity(lines)
 
@@ -130,14 +133,16 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         write.drop(gone, more)
         return out
 
-    rows = _ranked(lines.select("place", "mark", "w"), ranks, percent, 1).select("place", "mark", "n", "map", F.posexplode("w").alias("i", "tok"))
+    # The generator's input is no column of its own, or Spark would infer a filter from it and compute it twice.
+    rows = _traits(lines.select("place", "mark", "w")).select("place", "mark", "n", "map", F.posexplode(_prefix(ranks, percent, 1)).alias("i", "tok"))
     rows = rows.select(F.col("tok").alias("key"), "place", "mark", _load(F.col("i")).alias("load"), "tok")
     gone = write(copies.limit(0))
     for level in range(1, LEVELS + 1):
         # A line that repeats is its first copy from here on.
         rows = rows.groupBy("key", "mark").agg(F.min("place").alias("place"), F.min("load").alias("load"), *([F.min("tok").alias("tok")] if level > 1 else []))
         rows = write(rows)
-        heads = rows.groupBy("key").agg(F.min("place").alias("hub"), F.min_by("load", "place").alias("hub_load"), F.max("place").alias("last"), F.count("*").alias("size")).where("hub < last").drop("last")
+        write.settle()
+        heads = rows.groupBy("key").agg(F.min("place").alias("hub"), F.min_by("load", "place").alias("hub_load"), F.count("*").alias("size")).where("size > 1")
         shared = rows.join(heads, "key").where("place > hub")
         shared = write(shared.select(*rows.columns, "hub", "size", _may_match("load", "hub_load", percent, level).alias("near")))
         write.drop(rows)
@@ -163,7 +168,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         if level == LEVELS or hot.where("open").isEmpty():
             write.drop(left)
             break
-        longer = _ranked(rows_of(lines.select("place", "mark", "w"), hot, ["place"]), ranks, percent, level + 1).withColumnRenamed("w", "words")
+        longer = _traits(rows_of(lines.select("place", "mark", "w"), hot, ["place"])).withColumn("words", _prefix(ranks, percent, level + 1)).drop("w")
         rows = hot.select("key", "place", "mark", (F.col("tok") if level > 1 else F.col("key")).alias("tok")).join(longer, ["place", "mark"])
         at = F.array_position("words", F.col("tok")).cast("int")
         rows = rows.select("key", "place", "mark", "n", "map", at.alias("at"), F.posexplode(F.slice("words", at + 1, F.greatest(F.size("words") - at, F.lit(0)))).alias("i", "tok"))
@@ -171,7 +176,9 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         rows = write(rows)
         write.drop(left)
     out = copies.unionByName(gone).distinct()
-    out = out.join(lines.select("place", "mark", "doc"), ["place", "mark"]).distinct()
+    out = write(out.join(lines.select("place", "mark", "doc"), ["place", "mark"]).distinct())
+    write.drop(lines, copies, gone)
+    write.settle()
     if shift:
         return out.select(F.when(F.col("place") >= 1 << shift, F.shiftright("place", shift) + (low - 1)).cast(kind).alias("id"), "doc", (F.col("place") % (1 << shift)).cast("int").alias("pos"))
     return out.select("place.id", "doc", "place.pos")
