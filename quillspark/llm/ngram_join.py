@@ -3,16 +3,19 @@
 A document's set is its distinct word n-grams, as 64-bit hashes. Sizes fall into bands [l, 100 l / percent]; two
 sets that link lie in one band or in neighbouring ones, and differ in at most k = 2 r (100 - percent) / (100 +
 percent) features, r the upper end of the upper band. For a band the feature domain is partitioned into groups
-of cells by hash: of (k + 1) / 2 groups at least one holds at most one difference, so of its cells all but one
-agree. Every choice of all cells but one of each group is hashed into one signature, so sets that link share one.
-A set signs for its own band and for the next.
+of cells by hash: of k / 2 + 1 groups at least one holds at most one difference. A group has two halves of four
+cells, and one half at least is equal in both sets: each half is hashed into a signature. A half of fewer than FEW
+features says little (empty ones would meet each other), so it is joined by either pair of the other half's cells,
+and if that is still little, by either cell of the last pair; every choice keeps the at most one difference outside
+of what is hashed, so sets that link share a signature. A set signs for its own band and for the next.
 
 Plan, with rows in the order of documents:
 1. One pass over the texts writes (id, size, 128-bit hash of the set, signatures). Equal sets become one
    representative by an aggregation; copies never meet again until the end.
-2. Signatures of representatives are grouped, in PARTS by their hash to bound the disk; groups of one vanish. A group's hub is the member that meets most
-   others over all its signatures. Members join their hub, not each other, so a group of m makes m pairs. The joins
-   on the signature can be split where they are skewed, as their other side has one row a key.
+2. Signatures of representatives are grouped, in PARTS by their hash to bound the disk; groups of one vanish. A
+   group's hub is the member that meets most others over all its signatures. Members join their hub, not each other,
+   so a group of m makes m pairs. The joins on the signature can be split where they are skewed, as their other side
+   has one row a key.
 3. Pairs are made distinct; those that sizes and parity maps of the sets still allow are verified exactly on the
    sets; links give components.
 4. In groups whose members are now all in one component no pair is left to find. Where there are several, members
@@ -42,7 +45,8 @@ from ._common import NOT_SPACE, Written, as_bytes, fresh, mix, rows_of, runs_has
 from ._graph import components
 
 #: PARTS: the signatures are looked at in so many parts, one after another, so that no more than one part's shuffle files are there at once.
-HUB_ROUNDS, PARTS, MAP_SHARE = 1, 4, 24
+HUB_ROUNDS, PARTS, MAP_SHARE, FEW = 1, 4, 24, 2
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 SET = StructType([StructField("n", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("sigs", ArrayType(LongType())), StructField("items", ArrayType(LongType())), StructField("map", ArrayType(LongType()))])
 
 
@@ -86,14 +90,22 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
                 out.append(mix(np.array([spread.sum(dtype=np.uint64)]) + tag))
                 continue
             groups = (k + 2) // 2
-            cells = 3 if groups <= 8 else 2  # the smaller the set, the less a cell holds: there a choice is of two cells of three
-            at = ((spread >> np.uint64(33)) % np.uint64(groups * cells)).astype(np.int64)
-            sums = np.zeros(groups * cells, np.uint64)
+            at = (((spread >> np.uint64(33)) % np.uint64(groups)) * np.uint64(8) + (spread & np.uint64(7))).astype(np.int64)
+            sums = np.zeros(groups * 8, np.uint64)
             np.add.at(sums, at, mix(spread + np.uint64(1)))
-            sums = sums.reshape(groups, cells)
-            chosen = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
-            place = np.arange(1, groups * cells + 1, dtype=np.uint64).reshape(groups, cells) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(mix(mix(chosen + place) ^ tag).reshape(-1))
+            count = np.bincount(at, minlength=groups * 8)
+            quad, pair, one = sums.reshape(-1, 4), sums.reshape(-1, 2, 2), np.arange(1, 2 * groups + 1, dtype=np.uint64) * np.uint64(16)
+            half, n = quad[:, 0] + quad[:, 1] + quad[:, 2] + quad[:, 3], count.reshape(-1, 4).sum(axis=1)
+            few = np.flatnonzero(n < FEW)  # halves, numbered as 2 * group + side; the other half is few ^ 1
+            made = [(half + one * _PLACE)[n >= FEW]]
+            if len(few):
+                pairs, m = pair.reshape(-1, 2, 2, 2)[few >> 1, (few & 1) ^ 1], count.reshape(-1, 2, 2, 2)[few >> 1, (few & 1) ^ 1]
+                for h in (0, 1):
+                    more, size = half[few] + pairs[:, h, 0] + pairs[:, h, 1], n[few] + m[:, h].sum(axis=1)
+                    made.append((more + (one[few] + np.uint64(1 + h)) * _PLACE)[size >= FEW])
+                    left = size < FEW
+                    made += [(more + pairs[:, 1 - h, q] + (one[few] + np.uint64(3 + 2 * h + q)) * _PLACE)[left] for q in (0, 1)]
+            out.append(mix(mix(np.concatenate(made)) ^ tag))
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -169,9 +181,10 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         """Whether two sizes allow a link."""
         return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
-    def may_link(n: str, m: str, other_n: str, other_m: str) -> Column:
-        """Whether two sizes and parity maps allow a link."""
-        return sized(n, other_n) & F.when(sized(n, other_n), _apart(F.col(m), F.col(other_m)) * (100 + percent) <= (F.col(n) + F.col(other_n)) * (100 - percent))
+    def mapped(pairs: DataFrame) -> DataFrame:
+        """The pairs (vid, hub) of fitting sizes whose parity maps allow a link."""
+        both = pairs.join(traits, "vid").join(traits.select(F.col("vid").alias("hub"), F.col("n").alias("other_n"), F.col("map").alias("other_map")), "hub")
+        return both.where(_apart(F.col("map"), F.col("other_map")) * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)).select("vid", "hub")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(vid, hub, linked, far): far is the Jaccard distance. Only the texts of documents in pairs are read again."""
@@ -189,10 +202,8 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         write.settle()
         return out
 
-    hub_traits = traits.select(F.col("vid").alias("hub"), F.col("n").alias("other_n"), F.col("map").alias("other_map"))
     pairs = rows.where((F.col("vid") != F.col("hub")) & sized("n", "hub_n")).select("vid", "hub").distinct()
-    pairs = pairs.join(traits, "vid").join(hub_traits, "hub").where(may_link("n", "map", "other_n", "other_map")).select("vid", "hub")
-    tested = verified(pairs)
+    tested = verified(mapped(pairs))
     start = rows
     links = tested.where("linked").select(F.col("vid").alias("u"), F.col("hub").alias("v"))
     label = components(links, write)
@@ -207,14 +218,15 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         left = write(left.select("sig", "vid", "n", "met", F.col("next").alias("hub"), "l", "far"))
         if left.isEmpty():
             break
-        full = left.join(traits.select("vid", "map"), "vid")
-        near = may_link("n", "map", "other_n", "other_map") & F.coalesce(F.abs(F.col("far") - F.col("other_far")) <= reach, F.lit(True))
+        # A pair may meet under many signatures; its maps are compared once.
+        near = sized("n", "other_n") & F.coalesce(F.abs(F.col("far") - F.col("other_far")) <= reach, F.lit(True))
         if turn < HUB_ROUNDS:
-            heads = full.where("vid = hub").select("sig", F.col("l").alias("other_l"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.col("map").alias("other_map")).dropDuplicates(["sig"])
-            more = full.where("vid <> hub").join(heads, "sig").where((F.col("l") != F.col("other_l")) & near).select("vid", "hub").distinct()
+            heads = left.where("vid = hub").select("sig", F.col("l").alias("other_l"), F.col("far").alias("other_far"), F.col("n").alias("other_n")).dropDuplicates(["sig"])
+            more = left.where("vid <> hub").join(heads, "sig").where((F.col("l") != F.col("other_l")) & near).select("vid", "hub").distinct()
         else:
-            other = full.select("sig", F.col("vid").alias("other"), F.col("l").alias("other_l"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.col("map").alias("other_map"))
-            more = full.join(other, "sig").where((F.col("l") < F.col("other_l")) & near).select("vid", F.col("other").alias("hub")).distinct()
+            other = left.select("sig", F.col("vid").alias("other"), F.col("l").alias("other_l"), F.col("far").alias("other_far"), F.col("n").alias("other_n"))
+            more = left.join(other, "sig").where((F.col("l") < F.col("other_l")) & near).select("vid", F.col("other").alias("hub")).distinct()
+        more = mapped(more)
         seen = verified(more)
         found = write(seen.where("linked").select(F.col("vid").alias("u"), F.col("hub").alias("v")))
         if turn:
