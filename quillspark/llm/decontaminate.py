@@ -9,8 +9,8 @@ The benchmark is a stated query set. It goes to executors in blocks of at most B
 BLOCKS_A_PASS blocks in one pass over the documents; a larger benchmark takes more passes over the same rows,
 without a shuffle. Documents are streamed once per pass.
 
-Defined results: a null or wordless text has no words and no hits; null or wordless items have no windows and
-null item ids are left out; repeated items count once by id; repeated documents each get their row; empty tables
+Defined results: a null or wordless text has no words and no hits; null or wordless texts of items have no
+windows; what an item without an id holds is hit, but n_items and the ids leave it out; repeated items count once by id; repeated documents each get their row; empty tables
 give no rows, or rows without hits. Columns other than those named are not read.
 """
 
@@ -28,73 +28,84 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, Stru
 
 from ._common import ALNUM, as_bytes, chunks, fresh, with_struct, words_hashed
 
-BLOCK_BYTES, BLOCKS_A_PASS = 8 << 20, 4
-TABLE_BITS = 17
+BLOCK_BYTES, BLOCKS_A_PASS = 4 << 20, 4
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 FOUND = StructType([StructField("n_words", LongType()), StructField("items", ArrayType(StringType())), StructField("starts", ArrayType(LongType())), StructField("ends", ArrayType(LongType()))])
 
 
-def _blocks(h: np.ndarray, width: int) -> np.ndarray:
+def _blocks(h: np.ndarray, width: int, bits: int) -> np.ndarray:
     """A table index for each `width` consecutive words, by their last word."""
     with np.errstate(over="ignore"):
         x = h[width - 1 :] * _K1
         if width == 2:
             x = x ^ ((h[:-1] + np.uint64(1)) * _K2)
             x = x * _K1
-    return (x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Searcher:
-    """Wu-Manber search for windows of `m` words each."""
-
-    def __init__(self, m: int, windows: dict[tuple[bytes, ...], set[str]]):
-        self.m, self.width = m, min(2, m)
-        self.windows = [(w, sorted(items)) for w, items in windows.items()]
-        shift = np.full(1 << TABLE_BITS, m - self.width + 1, np.uint8)
-        self.buckets: dict[int, list[int]] = defaultdict(list)
-        self.firsts = []
-        flat = b" ".join(b" ".join(w) for w, _ in self.windows)
-        hashes = words_hashed(flat, ALNUM)[2].reshape(-1, m)
+    """Wu-Manber search for windows of `m` words each. Windows are places in `words`, the words of the block's items one after another, so memory grows with the text and not with the windows' lengths."""
+
+    def __init__(self, m: int, words: "Words", first: np.ndarray, item: np.ndarray):
+        self.m, self.width, self.words = m, min(2, m), words
+        self.bits = max(10, min(22, (4 * len(first)).bit_length()))
+        ends = words.hashes[first[:, None] + np.arange(m - self.width, m)]
+        last = _blocks(ends.reshape(-1), self.width, self.bits)[:: self.width]
+        order = np.argsort(last, kind="stable")
+        self.first, self.item = first[order], item[order]
+        self.bucket = np.searchsorted(last[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.shift = np.full(1 << self.bits, m - self.width + 1, np.uint8 if m < 256 else np.int32)
+        blocks = _blocks(words.hashes, self.width, self.bits)
         for j in range(self.width - 1, m):
-            index = _blocks(hashes[:, j - self.width + 1 : j + 1].reshape(-1), self.width)[:: self.width]
-            np.minimum.at(shift, index, np.uint8(m - 1 - j))
-        for i, index in enumerate(_blocks(hashes[:, m - self.width :].reshape(-1), self.width)[:: self.width].tolist()):
-            self.buckets[index].append(i)
-        self.hashes, self.shift = hashes, shift
+            np.minimum.at(self.shift, blocks[first + j - self.width + 1], m - 1 - j)
 
     def search(self, data: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, items: set[str], spans: list[tuple[int, int]]) -> None:
-        m, width = self.m, self.width
+        m, width, words = self.m, self.width, self.words
         if len(h) < m:
             return
-        index = _blocks(h, width)
-        skip = self.shift[index].tobytes()  # by the block's last word, less width - 1
+        index = _blocks(h, width, self.bits)
+        skip = self.shift[index].tolist() if m >= 256 else self.shift[index].tobytes()  # by the block's last word, less width - 1
         at, last = m - width, len(skip)
         while at < last:
             if s := skip[at]:
                 at += s
                 continue
             end = at + width - 1  # the window's last word
-            first = end - m + 1
-            for i in self.buckets.get(int(index[at]), ()):
-                if h[first] == self.hashes[i, 0] and np.array_equal(h[first : end + 1], self.hashes[i]):
-                    words, found = self.windows[i]
-                    if all(data[starts[first + k] : ends[first + k]].lower() == w for k, w in enumerate(words)):
-                        items.update(found)
-                        spans.append((first, end + 1))
+            first, found = end - m + 1, False
+            for i in range(self.bucket[index[at]], self.bucket[index[at] + 1]):
+                f = int(self.first[i])
+                if h[first] == words.hashes[f] and np.array_equal(h[first : end + 1], words.hashes[f : f + m]) and (found or all(data[starts[first + k] : ends[first + k]].lower() == words.data[words.starts[f + k] : words.ends[f + k]] for k in range(m))):
+                    if (name := words.names[self.item[i]]) is not None:
+                        items.add(name)
+                    found = True
+            if found:
+                spans.append((first, end + 1))
             at += 1
 
 
-def searchers(block: list[tuple[str, str]], window: int) -> list[Searcher]:
-    by: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in block:
-        data = text.encode()
-        s, e, _ = words_hashed(data, ALNUM)
-        words = [data[a:b].lower() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by[m][tuple(words[i : i + m])].add(item)
-    return [Searcher(m, w) for m, w in sorted(by.items())]
+class Words:
+    """The words of a block's items: lower-cased text, places, hashes; and the items' ids."""
+
+    def __init__(self, block: list[tuple[str | None, str]]):
+        self.names = [i for i, _ in block]
+        self.data = b" ".join(t.encode().lower() for _, t in block)  # bytes lower-case A-Z alone
+        cut = [words_hashed(t.encode(), ALNUM) for _, t in block]
+        at = np.cumsum([0, *(len(t.encode()) + 1 for _, t in block)])
+        join = lambda k, kind: np.concatenate([c[k] + at[i] if k < 2 else c[k] for i, c in enumerate(cut)]) if cut else np.zeros(0, kind)
+        self.starts, self.ends, self.hashes = join(0, np.int64), join(1, np.int64), join(2, np.uint64)
+        self.counts = [len(c[2]) for c in cut]
+
+
+def searchers(block: list[tuple[str | None, str]], window: int) -> list[Searcher]:
+    words = Words(block)
+    by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+    at = 0
+    for item, n in enumerate(words.counts):
+        if m := min(window, n):
+            by[m].append((np.arange(at, at + n - m + 1), np.full(n - m + 1, item)))
+        at += n
+    return [Searcher(m, words, *(np.concatenate(x) for x in zip(*parts, strict=True))) for m, parts in sorted(by.items())]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -122,8 +133,10 @@ def _built(block: tuple, window: int) -> list[Searcher]:
 
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "found") -> tuple[DataFrame, str]:
     """docs with a struct of n_words, items, and merged hit spans (starts, ends: word positions); and that struct's name."""
+    if window < 1:
+        raise ValueError("a window has one word at least")
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
     passes: list[list] = [[]]
     for block in chunks(((r.i, r.t) for r in items.toLocalIterator(prefetchPartitions=False)), lambda x: len(x[1]), BLOCK_BYTES):
         if len(passes[-1]) == BLOCKS_A_PASS:
@@ -192,8 +205,7 @@ def reference(docs: list[tuple[int, str | None]], items: list[tuple[int | None,
     for i, t in items:
         w = cut(t)
         m = min(window, len(w))
-        if i is not None:
-            pats += [(str(i), w[k : k + m]) for k in range(len(w) - m + 1 if m else 0)]
+        pats += [(None if i is None else str(i), w[k : k + m]) for k in range(len(w) - m + 1 if m else 0)]
     out = {}
     for d, t in docs:
         w = cut(t)
@@ -202,6 +214,7 @@ def reference(docs: list[tuple[int, str | None]], items: list[tuple[int | None,
             for k in range(len(w) - len(p) + 1):
                 if w[k : k + len(p)] == p:
                     hit.update(range(k, k + len(p)))
-                    got.add(i)
+                    if i is not None:
+                        got.add(i)
         out[d] = (len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit))
     return out
