@@ -8,9 +8,10 @@ saves of one frame is bounded, so over a long frame the margin would shrink with
 whose dictionary makes it smallest. `margin` is how much smaller that is than the runner-up, as a share; a margin under
 MARGIN is narrow and the document is rejected (`accepted` is false).
 
-The sample: per language the DOCS_A_LANGUAGE labelled documents of lowest hash (chosen by a partial top-k before
-any shuffle), cut after DICTIONARY_BYTES. Both bounds are parameters. The dictionaries are the only broadcast:
-DICTIONARY_BYTES a language, of at most MOST_LANGUAGES languages.
+The sample to learn from: per language the DOCS_A_LANGUAGE labelled documents of lowest hash (chosen by a partial
+top-k before any shuffle), of each its first HEAD characters, cut after DICTIONARY_BYTES in all. These bounds are
+parameters; they hold for learning alone, a prediction reads whole texts. Of more than MOST_LANGUAGES labels each
+gets as much less. The dictionaries are the only broadcast.
 
 Defined results: null texts and texts without a letter get `und`, score 0, and are rejected; with no labelled
 document at all every text gets `und`; ties go to the first language by name and are rejected as narrow;
@@ -27,7 +28,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from ._common import fresh, with_struct
 
-DOCS_A_LANGUAGE, DICTIONARY_BYTES, MOST_LANGUAGES = 400, 98_304, 400
+DOCS_A_LANGUAGE, DICTIONARY_BYTES, MOST_LANGUAGES, HEAD = 400, 98_304, 400, 1500
 LEVEL, MARGIN = 9, 0.002
 #: A frame costs more than a match in a few words saves; twice the text shows the saving.
 SHORT, BLOCK = 400, 32_768
@@ -48,19 +49,20 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = DOCS_A_LANGUAGE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = DOCS_A_LANGUAGE, size: int = DICTIONARY_BYTES, head: int = HEAD) -> dict[str, bytes]:
     """A dictionary's content for each language of `labelled` rows; at most docs x languages rows reach the driver."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("rank"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.where("lang is not null and text is not null")
     first = Window.partitionBy("lang").orderBy("rank", "id")
+    langs = rows.select("lang").distinct().count()
+    if langs > MOST_LANGUAGES:  # the whole sample stays within its bound
+        docs, size = max(1, docs * MOST_LANGUAGES // langs), max(8, size * MOST_LANGUAGES // langs)
     # A document gives its head of a share of the dictionary, so that one long text cannot fill it.
-    rows = rows.withColumn("text", F.substring("text", 1, max(1500, 4 * size // docs)))
+    rows = rows.withColumn("text", F.substring("text", 1, max(head, 4 * size // docs)))
     picked = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs)
     by: dict[str, list[tuple[int, str]]] = {}
     for r in picked.select("lang", "n", "text").toLocalIterator():
         by.setdefault(r.lang, []).append((r.n, r.text))
-        if len(by) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages: these are not language labels")
     out = {}
     for lang, texts in sorted(by.items()):
         content = b"".join(normalise(t) for _, t in sorted(texts) if has_letter(t))[:size]
