@@ -4,10 +4,11 @@ Markup is stripped first: comments, scripts, styles, forms and elements that are
 the words of their class, id or role are cut out, block tags become line ends, and inline tags vanish. Every
 block is then a line. The distribution is the text length of a sliding window of lines, boilerplate lines taken out; it
 surges where the article starts and dives where it ends, and the text between every surge and its dive is kept. After
-the dive has begun a span ends where boilerplate was cut out. Link text counts nothing; a line of links alone is kept
+the dive has begun a span ends where boilerplate was cut out. Where no window surges, all lines that hold more than
+links are the text. Link text counts nothing; a line of links alone is kept
 inside a span, but WINDOW of them end it. Where the page marks its article (article, main, or role=main), every line
 inside is kept and none outside, because lengths alone cannot tell a short heading or last line of the article from a
-caption outside it.
+caption outside it. Inside an article boilerplate is known by its tag or by a whole name (or a frame's part of one).
 
 Defined results: null or empty html, or a page without text, gives an empty text; unclosed tags end with the
 block that holds them; every row gives a row, repeated ones too. Columns other than those named are not read.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +43,7 @@ WORDS = set(
     "share sharing shares sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription taboola outbrain teaser teasers toc toolbar tooltip topbar trending widget widgets alert alerts complementary".split()
 )
 ARTICLE_WORDS = {"main", "article", "articlebody", "post-content", "entry-content", "article-body", "article-content", "post-body", "story-body"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>?", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+>?", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
@@ -54,6 +56,10 @@ def _attrs(tag: str, at: int) -> dict[str, str]:
 LAYOUT = {"sidebar", "sidebars", "header", "nav", "navbar", "menu", "toolbar", "topbar", "banner", "banners", "ad", "ads", "widget", "widgets", "toc"}
 
 
+#: What parts of a page's frame are made of.
+FRAME = {"area", "bar", "block", "blocks", "box", "button", "buttons", "card", "cards", "container", "content", "feed", "form", "inner", "item", "items", "label", "links", "list", "module", "panel", "row", "section", "slot", "text", "unit", "widget", "wrap", "wrapper", "zone"}
+
+
 def _boiler(name: str, attrs: dict[str, str], depth: int) -> int:
     """0: no boilerplate; 1: boilerplate; 2: by a word of LAYOUT alone. depth: how many article elements the element lies in."""
     if name in BOILER or (name == "header" and not depth):
@@ -68,7 +74,9 @@ def _boiler(name: str, attrs: dict[str, str], depth: int) -> int:
             for word in value.split():
                 if word in ARTICLE_WORDS:
                     return 0
-                hits = WORDS & {word, *re.split(r"[-_:0-9]+", word)}
+                parts = re.split(r"[-_:0-9]+", word)
+                # Inside an article a word must be the whole name, or its first or last part beside a word of a page's frame: a share price is no share bar.
+                hits = WORDS & ({word, *parts} if not depth else {word} | ({parts[0], parts[-1]} if FRAME & set(parts) else set()))
                 if depth:
                     hits -= {"header"}  # an article's own head
                 if hits:
@@ -97,12 +105,22 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
             text.clear()
         linked = 0
 
+    opened: Counter[str] = Counter()  # how many of each name are on the stack
+
     def pop() -> None:
         nonlocal boiler, article, soft
-        flush()
-        _, b, a, s = stack.pop()
+        name, b, a, s = stack.pop()
+        opened[name] -= 1
+        if b or a or name in BLOCK or name in BOILER:
+            flush()
         boiler, article, soft = boiler - b, article - a, soft - s
 
+    def push(name: str, b: int, a: bool, s: int) -> None:
+        nonlocal boiler, article, soft
+        stack.append((name, b, a, s))
+        opened[name] += 1
+        boiler, article, soft = boiler + b, article + a, soft + s
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -111,7 +129,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
             break
         if m.start() > at:
             text.append(page[at : m.start()])
-            if stack and stack[-1][0] == "a":
+            if opened["a"]:
                 linked += m.start() - at
         at = m.end()
         tag = m[0]
@@ -122,7 +140,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if tag[1] == "/":
             if name in BLOCK or name in RAW:
                 flush()
-            if any(s[0] == name for s in stack):
+            if opened[name]:
                 if name in BLOCK or name in BOILER:
                     while stack[-1][0] != name:
                         pop()
@@ -168,10 +186,9 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if b or a or name in BLOCK or name in ("b", "i", "em", "strong", "span", "a", "font", "u", "small"):
             if b or a or name in BLOCK:
                 flush()
-                stack.append((name, b, a, s))
-                boiler, article, soft = boiler + b, article + a, soft + s
+                push(name, b, a, s)
             elif name == "span" or name == "a":
-                stack.append((name, 0, False, 0))
+                push(name, 0, False, 0)
     flush()
     return out
 
