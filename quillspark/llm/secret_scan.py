@@ -8,6 +8,7 @@ on each blob once, and joins the findings back to all rows that hold the blob.
 Spans come from splitting a text at a rule's matches: the lengths of the pieces and of the matches, summed up in
 order, are the matches' places in code points. Two rules ask for a length that only a maximal run can have, so
 their patterns state it; for `assign` shorter matches still consume text, so they are found first, then dropped.
+Three rules more add spans that the base ones do not name: private key heads, tokens with a known prefix, web tokens.
 
 Defined results: a null text is an empty one; repeated rows each get their row; an empty table gives no rows; a
 hot blob is hashed map-side, scanned once and joined back on its hash, a join that Spark can split. Columns
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import same
+from ._common import Written, same
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,8 @@ class Rule:
     group: int = 0  # whose length must be `least`
     least: int = 1
 
+    base: bool = True  # whether it counts in the base digest
+
     @property
     def key(self) -> str:
         return f"{self.kind}@{self.version}"
@@ -41,6 +44,9 @@ RULES = (
     Rule("assign", 1, "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", 1, "AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, "[0-9a-f]{24,}"),
+    Rule("pem", 1, "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", base=False),
+    Rule("prefixed", 1, "(gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35,})", base=False),
+    Rule("jwt", 1, "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", base=False),
 )
 
 LEDGER = "blob string, rule string, spans array<struct<start:bigint,end:bigint>>"
@@ -102,18 +108,28 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, *, id_col: str = "doc
 
 
 def report(docs: DataFrame, ledger: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: doc_id, n_<kind> for each rule, base_sha256 and spans (kind:start:end, by start, then rule)."""
+    """One row per document: doc_id, n_<kind> for each rule, base_sha256 (of the base rules' spans) and spans (all of them; kind:start:end, by start, then rule)."""
     rows = blobs_of(docs, id_col, text_col)
     spans = scan_blobs(unseen(rows, ledger, rules), rules)
     if ledger is not None:
         spans = spans.unionByName(ledger.where(F.col("rule").isin([r.key for r in rules])).select("blob", "rule", F.explode("spans").alias("s")).select("blob", "rule", "s.start", "s.end"))
     order = F.coalesce(*[F.when(F.col("rule") == r.key, F.lit(i)) for i, r in enumerate(rules)])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    told = F.transform(F.sort_array(F.collect_list(F.struct("start", order.alias("o"), "end"))), lambda s: F.concat_ws(":", F.element_at(kinds, s["o"] + 1), s["start"], s["end"]))
-    by_blob = spans.groupBy("blob").agg(F.array_join(told, ",").alias("spans"), *[F.count(F.when(F.col("rule") == r.key, 1)).alias(f"n_{r.kind}") for r in rules])
+    named = lambda some: F.transform(F.sort_array(F.collect_list(F.when(some, F.struct("start", order.alias("o"), "end")))), lambda s: F.concat_ws(":", F.element_at(kinds, s["o"] + 1), s["start"], s["end"]))
+    based = F.col("rule").isin([r.key for r in rules if r.base])
+    by_blob = spans.groupBy("blob").agg(F.array_join(named(F.lit(True)), ",").alias("spans"), F.array_join(named(based), ",").alias("base"), *[F.count(F.when(F.col("rule") == r.key, 1)).alias(f"n_{r.kind}") for r in rules])
     all_ = rows.select("doc_id", "blob").join(by_blob.withColumnRenamed("blob", "b"), same(F.col("blob"), F.col("b")), "left")
-    said = F.coalesce("spans", F.lit(""))
-    return all_.select("doc_id", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules], F.sha2(said.cast("binary"), 256).alias("base_sha256"), said.alias("spans"))
+    return all_.select("doc_id", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules], F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+def report_in_steps(docs: DataFrame, steps: list[DataFrame], *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`report` of docs after each of `steps` (tables of versions, in order of history) was scanned into a written ledger; what no step has seen is scanned at the end."""
+    write = Written(docs.sparkSession, "blob-ledger")
+    ledger = None
+    for step in steps:
+        new = write(scan(step, ledger, id_col=id_col, text_col=text_col, rules=rules)[1])
+        ledger = new if ledger is None else ledger.unionByName(new)
+    return report(docs, ledger, id_col=id_col, text_col=text_col, rules=rules)
 
 
 def reference(text: str | None) -> list[tuple[str, int, int]]:
