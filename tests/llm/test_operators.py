@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -149,10 +150,14 @@ def test_rows_that_share_an_id_are_told_apart_by_their_texts(spark):
 # --- 3
 
 
+def by_twos(t):
+    return chat_format.format_pairs(t, pair=F.floor(F.col("conv_id") / 2), chosen=F.col("conv_id") % 2 == 0)
+
+
 def test_preferences_share_their_longest_prefix(spark):
     rows = [(0, 0, "system", "s"), (0, 1, "user", "hi"), (0, 2, "assistant", "é1"), (1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "two"), (1, 3, "user", None), (2, 0, "user", "x"), (4, 0, "user", "a"), (5, 0, "user", "a"), (7, 0, None, "q"), (9, None, "assistant", "n"), (9, 1, "assistant", "m")]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("c", F.lit(1)).withColumn("n", F.lit(2))
-    got = {r.pair_id: r for r in chat_format.preferences(t).collect()}
+    got = {r.pair_id: r for r in by_twos(t).collect()}
     n, prompt, c, r, mc, mr = chat_format.reference([("system", "s"), ("user", "hi"), ("assistant", "é1")], [("system", "s"), ("user", "hi"), ("assistant", "two"), ("user", "")])
     x = got[0]
     assert (x.prompt_turns, x.prompt, x.chosen, x.rejected, x.chosen_mask, x.rejected_mask) == (n, prompt, c, r, mc, mr)
@@ -162,7 +167,17 @@ def test_preferences_share_their_longest_prefix(spark):
     assert got[2].prompt_turns == 1 and got[2].chosen == "" == got[2].rejected
     assert got[3].chosen is None and got[3].rejected_mask == ""
     assert got[4].rejected.index("n") < got[4].rejected.index("m")
-    assert chat_format.preferences(t.limit(0)).count() == 0
+    assert by_twos(t.limit(0)).count() == 0
+    # The registered pairs share all turns before the last answer.
+    x = {r.pair_id: r for r in chat_format.preferences(t).collect()}
+    n, prompt, c, r, mc, mr = chat_format.reference([("system", "s"), ("user", "hi"), ("assistant", "é1")], [("system", "s"), ("user", "hi"), ("assistant", "two")])
+    assert n == 2 and (x[0].prompt, x[0].chosen, x[0].rejected, x[0].chosen_mask, x[0].rejected_mask) == (prompt, c, r, mc, mr)
+    assert x[4].rejected == got[4].rejected and x[4].chosen is None
+
+
+def test_prompts_of_the_table_are_not_empty(spark, sf):
+    rows = chat_format.preferences(spark.read.parquet(f"{sf}/conversations.parquet")).collect()
+    assert sum(r.prompt_turns > 0 for r in rows) > 0.5 * len(rows) and any(r.prompt_turns > 2 for r in rows)
 
 
 def test_op3_matches_its_sql(compare):
@@ -411,7 +426,7 @@ def test_the_ledger_scans_only_what_is_new(spark):
     first = docs_of(spark, SECRETS[:5])
     found, ledger = secret_scan.scan(first)
     ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
-    assert ledger.count() == 4 * 3  # null and empty are one blob
+    assert ledger.count() == 4 * len(secret_scan.RULES)  # null and empty are one blob
     every = docs_of(spark, SECRETS)
     todo = secret_scan.unseen(secret_scan.blobs_of(every), ledger)
     assert todo.count() == 3
@@ -424,6 +439,14 @@ def test_the_ledger_scans_only_what_is_new(spark):
     assert secret_scan.report(every.limit(0)).count() == 0
 
 
+def test_added_spans_stay_out_of_the_base_digest(spark):
+    rows = [(1, "x -----BEGIN RSA PRIVATE KEY-----\ntoken=abcdefg"), (2, "ghp_" + "aZ" * 20), (3, "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"), (4, None)]
+    got = {r.doc_id: r for r in secret_scan.report_in_steps(docs_of(spark, rows), [docs_of(spark, rows[:2])]).collect()}
+    assert got[1].spans == "pem:2:33,assign:34:47" and got[1].n_pem == 1 and got[2].spans == "prefixed:0:44" and got[3].n_jwt == 1
+    for d, t in rows:
+        assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in secret_scan.reference(t)).encode()).hexdigest()
+
+
 def test_op8_matches_its_sql(compare):
     compare(queries.QUERIES["op8_secret_scan"], queries.ORACLES["op8_secret_scan"])
 
@@ -450,6 +473,16 @@ def test_wording_differences_are_told(spark):
     assert license_scan.report(docs_of(spark, [])).count() == 0
 
 
+def test_kindred_licenses_are_told_apart_and_long_blocks_searched():
+    t = license_scan.TEMPLATES
+    found = lambda x: [f["license"] for f in license_scan.scan_text(x)["findings"]]
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause"):
+        assert found(t[name]) == [name]
+    assert found("This is licensed under the GNU General Public License, version 7.") == []
+    long = " ".join(f"license word{i} permission" for i in range(3000))
+    assert found(f"{long} {t['MIT']} {long} {t['ISC']} {long}") == ["MIT", "ISC"]
+
+
 def test_license_lines_of_the_corpus_are_all_found(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
     plain = docs.where("text rlike 'Licensed under the Apache License, Version 2.0.|Released under the MIT License.|Licensed under CC BY-NC 4.0.|licensed under the GNU General Public License, version 3.'")
@@ -475,6 +508,26 @@ def test_frames_named_for_a_sidebar_hold_articles():
     assert html_extract.extract(page) == "Head Text."
 
 
+def test_inline_tags_and_odd_attributes_do_not_cut_text():
+    e = html_extract.extract
+    assert e("<article><p>See <a href='x'>this</a>, and <span>th</span>at <b>m</b>ore</p></article>") == "See this, and that more"
+    assert e("<article><p title=don't>Hello it's a world of words</p><p>second</p></article>") == "Hello it's a world of words second"
+    assert e("<article><p class='share-price'>1.20</p><div class='ad-hoc'>news</div><div class='share-bar'>tweet</div><div class=ad>buy</div></article>") == "1.20 news"
+    assert e("<article><p>one</p></article><div>x</div><div>y</div><div>z</div><article><p>two</p></article>") == "one two"
+    assert e("<p a=1 b='2>3' c>text</p>") == "text"
+
+
+def test_many_open_elements_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        start = time.perf_counter()
+        html_extract.extract("<div>" * n + "x</p></b></section>" * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_distribution_finds_the_text_of_an_unmarked_page():
     body = "".join(f"<p>{'word ' * 40}{i}.</p>" for i in range(5))
     page = f"<body><div><a href=x>one</a></div><div><a href=y>two</a></div><div id=menu>m</div><div><h2>Title here</h2>{body}<p>End.</p></div><div class=footer>f</div><div>tiny</div></body>"
@@ -530,3 +583,16 @@ def test_pages_of_the_table_against_their_template(spark, sf):
         p = Article()
         p.feed(html[r.page_id])
         assert r.text == " ".join(x for x in (" ".join("".join(b).split()) for b in p.parts) if x)
+
+
+def test_images_without_pixels_are_unreadable(spark):
+    for data in (b"P5\n0 0\n255\n abc", b"P6\n0 9\n255\n", b"P5\n99999999 99999999\n255\n"):
+        assert media.decode(data) is None
+    got = media.copies(spark.createDataFrame([(1, bytearray(b"P5\n0 0\n255\n abc")), (2, None)], "media_id long, image binary")).collect()
+    assert sorted((r.media_id, r.n_points, r.class_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_items_without_an_id_are_hit_but_not_listed(spark):
+    docs, items = docs_of(spark, [(1, "a b c d"), (2, "x y")]), spark.createDataFrame([(None, "b c"), ("7", "x y")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.report(docs, items).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (2, 0, True) and (got[2].n_hit, got[2].n_items) == (2, 1)
