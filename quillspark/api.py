@@ -7,11 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import NothingPublished, PartialFetch
 from .operators import codelists, generations, inventory, normalize, profile, render
+from .plans import build as builds
 from .plans import lake as lakes
 from .plans import meaning
-from .sources import dbf, text
+from .sources import text
 
 Profile = render.Profile
 
@@ -48,20 +48,7 @@ def translate(spark: SparkSession, data, *, reference: DataFrame, docs: Iterable
 def fetch(spark: SparkSession, files: DataFrame, *, plan: normalize.Plan, uf=None, years=None, months=None, columns: list[str] | None = None, reference: DataFrame | None = None, docs: Iterable[render.FieldDoc] = (), profile: str | Profile = "analysis", max_bytes: int | None = None, allow_partial: bool = False) -> tuple[DataFrame, render.Report]:
     """From listed files (see inventory.facts) to a labelled table: select, decode, normalise, render. A source that cannot be decoded refuses the whole unless that is allowed."""
     chosen = inventory.select_files(files, ufs=uf, years=years, months=months, max_bytes=max_bytes).select("path").collect()
-    parts, failed = [], []
-    for r in chosen:
-        try:
-            p = r["path"]
-            df = dbf.read_dbf(spark, p) if p.lower().endswith(".dbf") else spark.read.parquet(p) if p.lower().endswith(".parquet") else text.read_csv(spark, p)
-            here = normalize.Plan(tuple(f for f in plan.fields if f.name in df.columns))
-            parts.append(normalize.with_provenance(normalize.normalise(df, here), source=F.lit(p)))
-        except Exception as e:
-            failed.append(f"{r['path']}: {type(e).__name__}: {str(e)[:120]}")
-    if failed and not allow_partial:
-        raise PartialFetch("; ".join(failed))
-    if not parts:
-        raise NothingPublished("no source could be decoded")
-    df = generations.union(parts, strict=False)
+    df = builds.read_files(spark, [r["path"] for r in chosen], plan, allow_partial=allow_partial)
     if columns is not None:
         df = df.select(*normalize.needed(columns, {}))
     if reference is None:
@@ -111,5 +98,6 @@ def load_population(df: DataFrame, *, uf=None, years=None, by: tuple[str, ...] =
     return df.groupBy("municipality", "year", *by).agg(F.sum("population").alias("population"))
 
 
+batches, build = builds.batches, builds.build
 search, export, pack, unpack, read_manifest, compendium = meaning.search, lakes.export, meaning.pack, meaning.unpack, meaning.read_manifest, meaning.compendium
 field_availability, availability_windows = generations.availability, generations.intervals

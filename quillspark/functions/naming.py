@@ -6,13 +6,16 @@ import hashlib
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geo import STATES
 
 UFS = tuple(sorted(STATES.values()))
 _UF = "|".join([*UFS, "BR"])
+#: Endings of packed files that are cut as one.
+STACKS = (".duck.zip", ".csv.zip", ".json.zip", ".xml.zip", ".dbf.zip", ".dbc.zip", ".parquet.zip", ".csv.gz", ".json.gz", ".xml.gz", ".dbf.gz", ".dbc.gz", ".tar.gz")
+_STACKS = "|".join(re.escape(s) for s in STACKS)
 #: What a file's ending says of its role.
 ROLES = {
     "dbc": "data", "dbf": "data", "csv": "data", "parquet": "data", "json": "data", "xml": "data", "zip": "data", "gz": "data", "duckdb": "data", "xlsx": "data",
@@ -45,7 +48,7 @@ class Parsed:
 
 def parse_file_name(path: Column) -> Parsed:
     """Prefix, state and date digits of a file name (P41, P42): prefix+state+date, prefix_state_date, prefix+date with a state at the prefix's end, name_state, or plain."""
-    name = F.upper(F.regexp_replace(F.element_at(F.split(path, "[/\\\\]"), -1), r"\.[A-Za-z0-9]+$", ""))
+    name = F.upper(F.regexp_replace(F.element_at(F.split(path, "[/\\\\]"), -1), rf"(?i)({_STACKS}|\.[A-Za-z0-9]+)$", ""))
     classic = rf"^([A-Z][A-Z0-9]+?)({_UF})(\d{{2,8}})$"
     parted = rf"^([A-Z][A-Z0-9]*)[_-]({_UF})[_-]?(\d{{2,8}})$"
     dated = r"^([A-Z][A-Z_]*?)[_-]?(\d{2,8})$"
@@ -63,7 +66,7 @@ def two_digit_year(value: Column, epoch: int | None = None) -> Column:
     n = value.try_cast("int")
     if epoch:
         return n + epoch
-    return F.when(n < 40, n + 2000).otherwise(n + 1900)
+    return F.when(n <= 40, n + 2000).otherwise(n + 1900)
 
 
 def resolved_date(digits: Column, convention: Column | str, epoch: int | None = None) -> Column:
@@ -112,13 +115,11 @@ def window_key(c: Column) -> Column:
 
 
 def canonical_series(series: Column) -> Column:
-    """A series' name by rules, first match wins: member after a colon, state-year-month template, year tail, file-name form, cleaned."""
+    """A series' name by rules, first match wins: what stands before an archive member's colon, placeholder template, year tail, file-name form with a part's suffix, else the trimmed text in upper case."""
     s = F.upper(F.trim(series))
-    colon = F.nullif(F.regexp_extract(s, r"^[^:]+:\s*(.+)$", 1), F.lit(""))
-    template = F.nullif(F.regexp_extract(s, r"^([A-Z][A-Z0-9]*?)_?UFAAMM$", 1), F.lit(""))
-    tail = F.nullif(F.regexp_extract(s, r"^(.+?)_(?:19|20)\d{2}$", 1), F.lit(""))
-    filed = F.nullif(F.regexp_extract(s, rf"^([A-Z]{{2,4}})(?:{_UF})\d{{2,6}}$", 1), F.lit(""))
-    return F.regexp_replace(F.coalesce(colon, template, tail, filed, s), r"[^A-Z0-9]+", "_")
+    found = lambda pattern: F.nullif(F.regexp_extract(s, pattern, 1), F.lit(""))
+    rules = [r"^([A-Z]{2,6})UFAAMM$", r"^([A-Z0-9_]+?)_(?:19|20)\d{2}$", rf"^([A-Z]{{2,6}}?)(?:{_UF})\d{{2,8}}(?:_\d+|[A-Z])?$"]
+    return F.when(F.contains(s, F.lit(":")), F.split_part(s, F.lit(":"), F.lit(1))).otherwise(F.coalesce(*[found(r) for r in rules], s))
 
 
 def dataset_spec(spec: str, aliases: dict[str, str] | None = None) -> tuple[str, str | None]:
@@ -130,30 +131,29 @@ def dataset_spec(spec: str, aliases: dict[str, str] | None = None) -> tuple[str,
     return (aliases or {}).get(system, system), m[2].upper() if m[2] else None
 
 
-def date_convention(codes: list[str], group_keys: list[str] | None = None) -> str:
-    """monthly, annual, explicit or ambiguous, by a folder's date digits."""
-    codes_ = [c for c in codes if c]
-    if codes_ and all(len(c) == 6 for c in codes_):
-        return "explicit"
-    if codes_ and all(len(c) == 2 for c in codes_):
-        return "annual"
-    four = [(k, c) for k, c in zip(group_keys or [""] * len(codes), codes, strict=True) if c and len(c) == 4]
-    if not four:
-        return "ambiguous"
-    if sum(1 <= int(c[2:]) <= 12 for _, c in four) / len(four) < 0.98:
-        return "annual"
-    if any(c[:2] not in ("19", "20") for _, c in four):
-        return "monthly"
-    tails: dict[tuple[str, str], set[str]] = {}
-    for k, c in four:
-        tails.setdefault((k, c[:2]), set()).add(c[2:])
-    if max(map(len, tails.values())) > 1:
-        return "monthly"
-    return "annual" if group_keys else "ambiguous"
-
-
-def two_digit_epoch(codes: list[int], now: int) -> str | None:
-    """pivot, 2000 or 1900: the reading with the tightest span of years that stays within 1900 and now + 60."""
-    readings = {"pivot": [c + (2000 if c < 40 else 1900) for c in codes], "2000": [c + 2000 for c in codes], "1900": [c + 1900 for c in codes]}
-    fit = {k: max(v) - min(v) for k, v in readings.items() if v and max(v) <= now + 60 and min(v) >= 1900}
-    return min(fit, key=fit.get) if fit else None
+def date_conventions(files: DataFrame, now: int | None = None) -> DataFrame:
+    """(folder, convention, epoch) of each folder's date digits (A60, A61), by two aggregations. files: folder, series (NULL: unknown), digits; `now` is the year up to whose sixtieth successor a reading may go.
+
+    Six digits everywhere are explicit, two everywhere annual. Of four, a first half with tails beyond a month's is a
+    year; any other lead than a century's, or a series with several tails to one lead, is monthly; else annual where
+    series are known, and ambiguous where they are not. The epoch of two-digit codes is the reading with the least
+    span of years that is allowed, the earlier of pivot, 2000 and 1900 where spans are equal.
+    """
+    d, n = F.col("digits"), F.length("digits")
+    lead, tail = F.substring(d, 1, 2), F.substring(d, 3, 2)
+    some = files.where(n > 0).withColumns({"__lead": F.when(n == 4, lead), "__tail": F.when(n == 4, tail.try_cast("int")), "__two": F.when(n == 2, d.try_cast("int"))})
+    is4 = F.col("__lead").isNotNull()
+    part = some.groupBy("folder", "series", "__lead").agg(
+        F.count("*").alias("n"), F.count_if(n == 6).alias("n6"), F.count_if(n == 2).alias("n2"), F.count_if(is4).alias("n4"), F.count_if(is4 & F.col("__tail").between(1, 12)).alias("months"),
+        F.count_if(is4 & ~F.col("__lead").isin("19", "20")).alias("odd"), F.count_distinct("__tail").alias("tails"),
+        *[f(F.col("__two") + F.when(F.lit(base is None) & (F.col("__two") > 40), 1900).otherwise(base or 2000)).alias(f"{k}_{f.__name__}") for k, base in (("pivot", None), ("y2000", 2000), ("y1900", 1900)) for f in (F.min, F.max)],
+    )
+    kinds = ("pivot", "y2000", "y1900")
+    t = part.groupBy("folder").agg(*[F.sum(c).alias(c) for c in ("n", "n6", "n2", "n4", "months", "odd")], F.max("tails").alias("tails"), (F.count("series") > 0).alias("named"), *[g(f"{k}_{m}").alias(f"{k}_{m}") for k in kinds for g, m in ((F.min, "min"), (F.max, "max"))])
+    convention = (
+        F.when(F.col("n6") == F.col("n"), "explicit").when(F.col("n2") == F.col("n"), "annual").when(F.col("n4") == 0, "ambiguous").when(F.col("months") < 0.98 * F.col("n4"), "annual")
+        .when((F.col("odd") > 0) | (F.col("tails") > 1), "monthly").otherwise(F.when(F.col("named"), "annual").otherwise("ambiguous"))
+    )
+    last = F.lit(now) if now else F.year(F.current_date())
+    spans = F.array(*[F.when((F.col(f"{k}_max") <= last + 60) & (F.col(f"{k}_min") >= 1900), F.struct((F.col(f"{k}_max") - F.col(f"{k}_min")).alias("span"), F.lit(i).alias("rank"), F.lit(k.lstrip("y")).alias("epoch"))) for i, k in enumerate(kinds)])
+    return t.select("folder", convention.alias("convention"), F.array_min(spans)["epoch"].alias("epoch"))

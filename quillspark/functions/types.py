@@ -36,9 +36,9 @@ def number(c: Column, target: DataType | str, decimals: int = 0) -> Column:
     text = F.replace(stripped(c), F.lit(","), F.lit("."))
     ok = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), text)
     if decimals:
-        implied = F.try_divide(ok.try_cast("decimal(38,0)").cast(f"decimal(38,{min(decimals, 18)})"), F.lit(10**decimals).cast("decimal(38,0)"))
-        explicit = ok.try_cast(f"decimal(38,{decimals})")
-        ok = F.when(F.contains(ok, F.lit(".")), explicit).otherwise(implied.try_cast(f"decimal(38,{decimals})"))
+        # The point goes into the text, so that a value is parsed once.
+        pointed = F.regexp_replace(F.regexp_replace(ok, r"^([+-]?)(\d+)$", "$1" + "0" * decimals + "$2"), rf"^([+-]?\d+)(\d{{{decimals}}})$", "$1.$2")
+        ok = F.when(F.contains(ok, F.lit(".")), ok).otherwise(pointed).try_cast(f"decimal(38,{decimals})")
     if isinstance(target, IntegerType | LongType) or target in ("int", "bigint"):
         ok = F.bround(ok.try_cast("decimal(38,6)"), 0)
     return ok.try_cast(target)

@@ -102,7 +102,7 @@ def choose(observed: DataFrame, codes: DataFrame, order: list[str], curated: str
         if s >= SURE and g >= SURE:
             return {"codelist": n, "share": s, "granularity": g, "rollups": [x for x in rollups if x != n], "reason": "measured"}
     if not found:
-        return {"codelist": None, "share": 0.0, "granularity": 0.0, "rollups": [], "reason": "no candidate is known"}
+        return {"codelist": names[0], "share": 0.0, "granularity": 1.0, "rollups": [], "reason": "no candidate is known"}
     top = max((s for _, s, _ in found), default=0.0)
     near = [x for x in found if x[1] >= top - TIE]
     n, s, g = max(near, key=lambda x: (x[2], x[1]))

@@ -18,12 +18,12 @@ from .profile import entropy, rate, statistics, tails
 
 #: Words in field names that hint at a type.
 HINTS = {
-    "age": r"(?i)IDADE|AGE",
-    "money": r"(?i)VAL|VL_|VALOR|PRICE|COST|TOTAL|CUSTO|PRECO|BAL",
-    "municipality": r"(?i)MUN|CIDADE|CITY",
+    "age": r"(?i)IDADE|IDAD|NU_IDADE|ANOS|COD_IDADE|(^|_)AGE(_|$)",
+    "money": r"(?i)VAL|VLR|VALOR|CUSTO|US_|_TOT|FINANC|VL_|PRICE|COST|TOTAL|PRECO|BAL",
+    "municipality": r"(?i)MUNIC|MUN_|CODMUN|CO_MUN|IBGE|RESID|MOV|CIDADE|CITY",
     "establishment": r"(?i)CNES|ESTAB",
-    "procedure": r"(?i)PROC|PA_",
-    "diagnosis": r"(?i)DIAG|CID|CAUSA",
+    "procedure": r"(?i)PROC|PRIPAL|SECUND|SIGTAP|ATO_PROF|PA_",
+    "diagnosis": r"(?i)DIAG|CID|CAUSA|CAUS|MORTE|OBITO",
     "cpf": r"(?i)CPF", "cns": r"(?i)CNS", "cnpj": r"(?i)CNPJ|CGC",
 }
 
@@ -36,7 +36,7 @@ def evidence(freq: DataFrame, universes: dict[str, DataFrame] | None = None) ->
         "r_age_letter": v.rlike(r"^[AMDH]\d{2,3}$"), "r_unit_letter": v.rlike(r"^[AMDH]"), "r_age_digit": v.rlike(r"^[1-4]\d{3}$"),
         "r_uf_alpha": F.upper(v).isin(*uf), "r_uf_numeric": v.isin(*STATES),
         "r_11": v.rlike(r"^\d{11}$"), "r_15": v.rlike(r"^\d{15}$"), "r_14": v.rlike(r"^\d{14}$"),
-        "r_icd": v.rlike(r"^[A-Z]\d{2}[\dX]?\d?$"), "r_mun6": v.rlike(r"^\d{6}$"), "r_mun7": v.rlike(r"^\d{7}$"),
+        "r_icd": v.rlike(r"(?i)^[A-TV-Z][0-9][0-9AB](\.?[0-9A-TV-Z]{0,4})?$"), "r_mun6": v.rlike(r"^\d{6}$"), "r_mun7": v.rlike(r"^\d{7}$"),
         "r_uf_prefix": F.substring(v, 1, 2).isin(*STATES), "r_8": v.rlike(r"^\d{8}$"),
         "r_ymd": v.rlike(r"^(19|20)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"), "r_dmy": v.rlike(r"^(0[1-9]|[12]\d|3[01])(0[1-9]|1[0-2])(19|20)\d{2}$"),
         "r_competence": v.rlike(r"^(19|20)\d{2}(0[1-9]|1[0-2])$"), "r_decimal": v.rlike(r"[.,]\d+$"), "r_negative": v.rlike(r"^-"), "r_dead": v.rlike(r"^(0+|9+)$"),
@@ -47,7 +47,8 @@ def evidence(freq: DataFrame, universes: dict[str, DataFrame] | None = None) ->
     lengths = lengths.groupBy("field").agg(F.max_by("l", F.struct("n", -F.col("l"))).alias("modal_length"), (F.max("n") / F.sum("n")).alias("modal_share"))
     out = out.join(lengths, "field", "left").join(entropy(freq), "field", "left").join(tails(freq), "field", "left")
     for name, codes in (universes or {}).items():
-        hit = freq.join(codes.select(F.col("code").alias("value")).distinct().withColumn("hit", F.lit(True)), "value", "left").groupBy("field").agg(F.coalesce(rate(F.col("hit")), F.lit(0.0)).alias(f"m_{name}"))
+        plain = freq.withColumn("value", F.upper(F.replace("value", F.lit("."), F.lit("")))) if name == "icd10" else freq
+        hit = plain.join(codes.select(F.col("code").alias("value")).distinct().withColumn("hit", F.lit(True)), "value", "left").groupBy("field").agg(F.coalesce(rate(F.col("hit")), F.lit(0.0)).alias(f"m_{name}"))
         out = out.join(hit, "field", "left").withColumn(f"t_{name}", F.lit(codes.count()))
     for name in ("icd10", "municipality", "establishment", "procedure"):
         if name not in (universes or {}):

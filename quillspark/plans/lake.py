@@ -7,6 +7,7 @@ state and year prune folders and data predicates reach row groups; nothing is li
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +46,19 @@ class Files:
         return self.fs().delete(self.path(name), True)
 
     def rename(self, old: str, new: str) -> None:
-        """Staged output takes its place; empty output is refused."""
+        """Staged output takes its place; empty output is refused (L14, L15). What stood there is set aside first and comes back if the new one cannot take its place, so that no step loses both."""
         if not self.fs().exists(self.path(old)):
             raise DecodeFailed(f"nothing staged at {old}")
-        if self.fs().exists(self.path(new)):
-            self.delete(new)
         self.fs().mkdirs(self.path(new).getParent())
+        aside = f"{new}.old-{uuid.uuid4().hex}" if self.fs().exists(self.path(new)) else None
+        if aside and not self.fs().rename(self.path(new), self.path(aside)):
+            raise OSError(f"{new} could not be set aside")
         if not self.fs().rename(self.path(old), self.path(new)):
+            if aside:
+                self.fs().rename(self.path(aside), self.path(new))
             raise OSError(f"{old} could not take the place of {new}")
+        if aside:
+            self.delete(aside)
 
     def write(self, name: str, text: str) -> None:
         out = self.fs().create(self.path(name), True)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo, naming, text, types
 from ..operators import codelists, detectors, dictionary, generations, inventory, normalize, profile, render
+from ..shared import folder
+from ..sources import text as sources
+from .lake import Lake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -327,6 +330,107 @@ def rule_apply(spark, d):
     return codelists.ranges_lookup(p, "code", runs).select("p_partkey", "label")
 
 
+# --- sources: tables written in old formats and read back -----------------------------------------
+
+
+def _dbase(df: DataFrame, names: list[str], widths: list[int], ending: str = ".dbf") -> DataFrame:
+    """(path, content): a dBase file for each partition of df."""
+    import pyarrow as pa
+
+    def run(batches):
+        from quillspark.sources import dbc, dbf
+
+        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        data = dbf.encode(names, widths, rows)
+        yield pa.RecordBatch.from_arrays([pa.array([f"/part{ending}"]), pa.array([dbc.pack(data) if ending == ".dbc" else data], pa.binary())], names=["path", "content"])
+
+    return df.mapInArrow(run, "path string, content binary")
+
+
+_SUPPLIERS = "SELECT CAST(s_suppkey AS BIGINT) AS key, s_name AS name, CAST(s_nationkey AS BIGINT) AS nation, round(s_acctbal, 2) AS balance FROM supplier"
+
+
+def _suppliers(spark, d, ending: str) -> DataFrame:
+    from ..sources import dbf
+
+    names, widths = ["KEY", "NAME", "NATION", "BALANCE"], [10, 25, 4, 14]
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string"), F.col("s_acctbal").cast("decimal(14,2)").cast("string"))
+    rows = dbf.read_binary(_dbase(s, names, widths, ending), dbf.encode(names, widths, []))
+    return rows.select(F.col("KEY").try_cast("long").alias("key"), types.stripped(F.col("NAME")).alias("name"), types.number(F.col("NATION"), "bigint").alias("nation"), types.number(F.col("BALANCE"), "decimal(14,2)", 2).cast("double").alias("balance"))
+
+
+@query(_SUPPLIERS)
+def source_dbf(spark, d):
+    return _suppliers(spark, d, ".dbf")
+
+
+@query(_SUPPLIERS)
+def source_dbc(spark, d):
+    return _suppliers(spark, d, ".dbc")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS \"CUSTKEY\", c_name AS \"NOME\", nullif(c_mktsegment, 'BUILDING') AS \"SEGMENTO\" FROM customer")
+def source_csv(spark, d):
+    """Semicolons and a header in mixed case; empty cells are NULL."""
+    path = folder(spark, "csv")
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("CustKey"), F.col("c_name").alias("nome"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise("").alias("Segmento"))
+    c.write.option("header", True).option("sep", ";").option("emptyValue", "").csv(path)
+    return sources.read_csv(spark, path)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")
+def source_json(spark, d):
+    path = folder(spark, "json")
+    t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey").write.json(path)
+    return sources.read_json(spark, path).select("o_orderkey", "o_orderstatus", "o_custkey")
+
+
+@query('SELECT CAST(p_partkey AS VARCHAR) AS "KEY", p_brand AS "BRAND", CAST(p_size AS VARCHAR) AS "SIZE" FROM part')
+def source_fixed(spark, d):
+    """Places by a layout of name, size, start, end, type."""
+    path = folder(spark, "fixed")
+    t(spark, d, "part").select(F.concat(F.rpad(F.col("p_partkey").cast("string"), 12, " "), F.rpad("p_brand", 14, " "), F.lpad(F.col("p_size").cast("string"), 4, " "))).write.text(path)
+    return sources.read_fixed(spark, path, sources.parse_layout("key,12,1,12,C\nbrand,14,13,26,C\nsize,4,27,30,N"))
+
+
+@query("SELECT 'nations/' || r_name || '.csv' AS member, 'csv' AS reader, count(*) AS rows, 'KEY,NAME' AS columns FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def source_archive(spark, d):
+    """A zip of zips of tables, one for each region: members are found and read by the ladder."""
+    import pyarrow as pa
+
+    from ..sources import containers
+
+    n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "n_nationkey", "n_name"))), "\n").alias("body"))
+
+    def run(batches):
+        import io
+        import zipfile
+
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                data, name = f"key,name\n{r['body']}\n".encode(), f"nations/{r['r_name']}.csv"
+                for member in (name, "inner.zip"):
+                    held = io.BytesIO()
+                    with zipfile.ZipFile(held, "w") as z:
+                        z.writestr(member, data)
+                    data = held.getvalue()
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([pa.array(["/x.zip"] * len(out), pa.string()), pa.array(out, pa.binary())], names=["path", "content"])
+
+    found = containers.probe(n.mapInArrow(run, "path string, content binary"))
+    return found.select(F.regexp_extract("member", "(nations/.*)$", 1).alias("member"), "reader", "rows", "columns")
+
+
+@query("SELECT CAST(year(l_shipdate) AS BIGINT) AS year, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL")
+def lake_views(spark, d):
+    """A lake's view, asked in SQL with a parameter."""
+    root = Lake(spark, folder(spark, "lake"))
+    root.write(t(spark, d, "lineitem").select("l_returnflag", "l_quantity", F.year("l_shipdate").alias("year"), F.lit("SP").alias("uf")), "viewed", "viewed_li")
+    root.open()
+    return root.sql("SELECT CAST(year AS BIGINT) AS year, count(*) AS n FROM viewed_li WHERE l_returnflag = :flag GROUP BY ALL", flag="A")
+
+
 _NAMES = ["/S1/Data/RDSP2301.dbc", "/S1/Data/RDAL9912.dbc", "/S2/PA_RJ_0512.dbf", "/S2/NAC2015.csv", "/S3/DOMG20.zip", "/S3/docs/manual.pdf", "/S1/aux/CID10.cnv", "/S4/lista_SP.xlsx", "/S4/plain.txt"]
 
 
@@ -336,15 +440,43 @@ def filename_grammar(spark, d):
     return f.select("path", "system", "prefix", "geo", F.col("date").cast("int").alias("date"), "role")
 
 
-@query("SELECT * FROM (VALUES ('a', 'monthly'), ('b', 'annual'), ('c', 'explicit'), ('d', 'annual')) AS v(folder, convention)")
+_FOLDERS = """f AS (SELECT left(o_orderpriority, 1) AS folder, CASE WHEN left(o_orderpriority, 1) = '5' THEN NULL ELSE o_orderstatus END AS series,
+ CASE left(o_orderpriority, 1) WHEN '1' THEN strftime(o_orderdate, '%y%m') WHEN '2' THEN strftime(o_orderdate, '%Y') WHEN '3' THEN strftime(o_orderdate, '%Y%m') WHEN '4' THEN CASE WHEN o_orderkey % 2 = 0 THEN lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') ELSE CAST(41 + o_orderkey % 20 AS VARCHAR) END ELSE '2005' END AS digits FROM orders)"""
+
+
+@query(f"""
+WITH {_FOLDERS},
+t AS (SELECT folder, bool_and(length(digits) = 6) AS six, bool_and(length(digits) = 2) AS two, avg(CASE WHEN TRY_CAST(substr(digits, 3, 2) AS INTEGER) BETWEEN 1 AND 12 THEN 1.0 ELSE 0 END) FILTER (WHERE length(digits) = 4) AS months,
+ bool_or(left(digits, 2) NOT IN ('19', '20')) FILTER (WHERE length(digits) = 4) AS odd, bool_or(series IS NOT NULL) AS named FROM f GROUP BY folder),
+m AS (SELECT folder, max(c) AS c FROM (SELECT folder, series, left(digits, 2), count(DISTINCT substr(digits, 3, 2)) AS c FROM f WHERE length(digits) = 4 GROUP BY ALL) GROUP BY folder),
+y AS (SELECT folder, CAST(digits AS INTEGER) AS v FROM f WHERE length(digits) = 2),
+r AS (SELECT folder, 'pivot' AS epoch, 0 AS rank, v + CASE WHEN v <= 40 THEN 2000 ELSE 1900 END AS year FROM y UNION ALL SELECT folder, '2000', 1, v + 2000 FROM y UNION ALL SELECT folder, '1900', 2, v + 1900 FROM y),
+e AS (SELECT folder, first(epoch ORDER BY span, rank) AS epoch FROM (SELECT folder, epoch, rank, max(year) - min(year) AS span FROM r GROUP BY ALL HAVING max(year) <= 2086 AND min(year) >= 1900) GROUP BY folder)
+SELECT folder, CASE WHEN six THEN 'explicit' WHEN two THEN 'annual' WHEN months IS NULL THEN 'ambiguous' WHEN months < 0.98 THEN 'annual' WHEN odd OR c > 1 THEN 'monthly' WHEN named THEN 'annual' ELSE 'ambiguous' END AS convention, epoch
+FROM t LEFT JOIN m USING (folder) LEFT JOIN e USING (folder)""")
 def date_convention(spark, d):
-    given = {"a": ["9901", "9902", "0001"], "b": ["2013", "2050"], "c": ["201501", "201502"], "d": ["15", "16"]}
-    return spark.createDataFrame([(k, naming.date_convention(v, [k] * len(v))) for k, v in given.items()], "folder string, convention string")
+    """Folders of order dates written in several ways, and of two-digit codes on both sides of the pivot."""
+    o, day = t(spark, d, "orders"), F.col("o_orderdate")
+    folder_ = F.substring("o_orderpriority", 1, 1)
+    two = F.when(F.col("o_orderkey") % 2 == 0, F.lpad((F.col("o_orderkey") % 30).cast("string"), 2, "0")).otherwise((F.col("o_orderkey") % 20 + 41).cast("string"))
+    digits = F.when(folder_ == "1", F.date_format(day, "yyMM")).when(folder_ == "2", F.date_format(day, "yyyy")).when(folder_ == "3", F.date_format(day, "yyyyMM")).when(folder_ == "4", two).otherwise("2005")
+    return naming.date_conventions(o.select(folder_.alias("folder"), F.when(folder_ != "5", F.col("o_orderstatus")).alias("series"), digits.alias("digits")), 2026)
 
 
-@query("SELECT * FROM (VALUES ('a', 'pivot'), ('b', '2000')) AS v(folder, epoch)")
-def two_digit_epoch(spark, d):
-    return spark.createDataFrame([("a", naming.two_digit_epoch([79, 99, 5], 2026)), ("b", naming.two_digit_epoch([45, 30], 2026))], "folder string, epoch string")
+@query("""
+WITH n AS (SELECT n_nationkey AS k, upper(substr(n_name, 1, 2)) AS p FROM nation),
+s AS (SELECT unnest([
+ {'path': '/S1/Data/' || p || 'XSP23' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || '.dbc', 'system': 'S1', 'prefix': p || 'X', 'geo': 'SP', 'date': 202301 + k % 12, 'role': 'data'},
+ {'path': '/S2/' || p || 'X_RJ_40' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || '.csv.zip', 'system': 'S2', 'prefix': p || 'X', 'geo': 'RJ', 'date': 204001 + k % 12, 'role': 'data'},
+ {'path': '/S2/' || p || 'XMG41' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || '.dbf.gz', 'system': 'S2', 'prefix': p || 'X', 'geo': 'MG', 'date': 194101 + k % 12, 'role': 'data'},
+ {'path': '/S3/docs/' || lower(p) || 'manual.pdf', 'system': 'S3', 'prefix': p || 'MANUAL', 'geo': NULL, 'date': NULL, 'role': 'documentation'},
+ {'path': '/S4/lista' || lower(p) || '_SP.xlsx', 'system': 'S4', 'prefix': 'LISTA' || p, 'geo': 'SP', 'date': NULL, 'role': 'data'}]) AS x FROM n)
+SELECT x.path AS path, x.system AS system, x.prefix AS prefix, x.geo AS geo, CAST(x.date AS BIGINT) AS date, x.role AS role FROM s""")
+def filename_grammar_of_tables(spark, d):
+    """Names of several grammars made of the nations' names: classic, parted, packed twice, documents, lists; years on both sides of the pivot."""
+    p, month = F.upper(F.substring("n_name", 1, 2)), F.lpad((F.col("n_nationkey") % 12 + 1).cast("string"), 2, "0")
+    paths = [F.concat(F.lit("/S1/Data/"), p, F.lit("XSP23"), month, F.lit(".dbc")), F.concat(F.lit("/S2/"), p, F.lit("X_RJ_40"), month, F.lit(".csv.zip")), F.concat(F.lit("/S2/"), p, F.lit("XMG41"), month, F.lit(".dbf.gz")), F.concat(F.lit("/S3/docs/"), F.lower(p), F.lit("manual.pdf")), F.concat(F.lit("/S4/lista"), F.lower(p), F.lit("_SP.xlsx"))]
+    return inventory.facts(t(spark, d, "nation").select(F.explode(F.array(*paths)).alias("path"))).select("path", "system", "prefix", "geo", long("date", "date"), "role")
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS system, coalesce(nullif(regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1), ''), '') AS series FROM pages")
@@ -551,7 +683,11 @@ def semi_anti(spark, d):
 
 @query("SELECT l_shipmonth, n, round(total, 2) AS total FROM (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS l_shipmonth, count(*) AS n, sum(l_extendedprice) AS total FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1999-01-01' AND l_returnflag = 'R' GROUP BY 1)")
 def lake_pruned_scan(spark, d):
-    li = t(spark, d, "lineitem").where("l_shipdate >= timestamp '1998-01-01' and l_shipdate < timestamp '1999-01-01' and l_returnflag = 'R'")
+    """Written as a lake by year, read back with one year's folders."""
+    root = Lake(spark, folder(spark, "lake"))
+    li = t(spark, d, "lineitem").select("l_shipdate", "l_extendedprice", "l_returnflag").withColumns({"uf": F.lit(None).cast("string"), "year": F.year("l_shipdate")})
+    root.write(li, "tpch", "lineitem")
+    li = root.scan("tpch", "lineitem", years=1998, where="l_returnflag = 'R'", columns=["l_shipdate", "l_extendedprice"])
     return li.groupBy((F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("long").alias("l_shipmonth")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
@@ -643,10 +779,16 @@ def user_sessions(spark, d):
     return sessions(t(spark, d, "events"), time="ts", key="user_id").select("user_id", "start", "n")
 
 
-@query("SELECT prefix, series FROM (VALUES ('X:RD', 'RD'), ('PAUFAAMM', 'PA'), ('RD_2015', 'RD'), ('RDSP2301', 'RD'), ('a b', 'A_B')) AS v(prefix, series)")
+@query("""
+WITH n AS (SELECT n_nationkey AS k, upper(substr(n_name, 1, 3)) AS p FROM nation),
+s AS (SELECT k, p, unnest([p || 'X:MEMBER:' || k, lower(p) || 'ufaamm', p || '_' || (1990 + k), p || 'SP' || (2300 + k), p || 'BR25' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || 'A', p || 'RJ2509_' || k, ' ' || lower(p) || ' ' || k, p || 'ZZ2301']) AS prefix FROM n)
+SELECT prefix, CASE WHEN prefix LIKE '%:%' THEN p || 'X' WHEN prefix LIKE ' %' THEN p || ' ' || k WHEN prefix LIKE '%ZZ%' THEN prefix ELSE p END AS series FROM s""")
 def canonical_series(spark, d):
-    rows = spark.createDataFrame([("X:RD",), ("PAUFAAMM",), ("RD_2015",), ("RDSP2301",), ("a b",)], "prefix string")
-    return rows.withColumn("series", naming.canonical_series(F.col("prefix")))
+    p = F.upper(F.substring("n_name", 1, 3))
+    k = F.col("n_nationkey").cast("string")
+    month = F.lpad((F.col("n_nationkey") % 12 + 1).cast("string"), 2, "0")
+    forms = [F.concat(p, F.lit("X:MEMBER:"), k), F.concat(F.lower(p), F.lit("ufaamm")), F.concat(p, F.lit("_"), (F.col("n_nationkey") + 1990).cast("string")), F.concat(p, F.lit("SP"), (F.col("n_nationkey") + 2300).cast("string")), F.concat(p, F.lit("BR25"), month, F.lit("A")), F.concat(p, F.lit("RJ2509_"), k), F.concat(F.lit(" "), F.lower(p), F.lit(" "), k), F.concat(p, F.lit("ZZ2301"))]
+    return t(spark, d, "nation").select(F.explode(F.array(*forms)).alias("prefix")).withColumn("series", naming.canonical_series(F.col("prefix")))
 
 
 @query("SELECT * FROM (VALUES ('/kits/k_199801-200512.zip', 199801, 200512), ('/k_200601_200712/x.zip', 200601, 200712), ('/x.zip', NULL, NULL)) AS v(path, a, b)")

@@ -96,7 +96,7 @@ def walk(data: bytes, path: str = "", depth: int = 0) -> Iterator[tuple[str, byt
 
 
 #: Readers that a file's ending suggests first; the others are still tried.
-FIRST = {"dbf": "dbf", "csv": "csv", "txt": "csv", "json": "json", "parquet": "parquet"}
+FIRST = {"dbf": "dbf", "dbc": "dbc", "csv": "csv", "txt": "csv", "json": "json", "parquet": "parquet"}
 
 
 def ladder(path: str) -> list[str]:
@@ -110,6 +110,10 @@ def ladder(path: str) -> list[str]:
 
 
 def _read(reader: str, data: bytes) -> pa.Table:
+    if reader == "dbc":
+        from .dbc import unpack
+
+        return _read("dbf", unpack(data))
     if reader == "dbf":
         from .dbf import read_bytes
 
@@ -192,19 +196,54 @@ def lookup_columns(table: pa.Table) -> tuple[str, str]:
     return code, label
 
 
-def with_deadline(f: Callable, seconds: float, label: str = ""):
-    """f() in a thread, or ItemTimeout (O20). Tasks themselves are bounded by Spark's task reaper."""
-    import concurrent.futures
+def with_deadline(f: Callable, seconds: float, label: str = "", memory: int | None = None):
+    """f() in a process of its own, which is killed after `seconds` (ItemTimeout) and may take `memory` bytes more than it began with (O20, R26). A crash there is DecodeFailed here."""
+    import multiprocessing
 
     from ..errors import ItemTimeout
 
-    pool = concurrent.futures.ThreadPoolExecutor(1)
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe(duplex=False)
+
+    def run() -> None:
+        if memory:
+            import resource
+
+            with open("/proc/self/statm") as s:
+                now = int(s.read().split()[0]) * resource.getpagesize()
+            resource.setrlimit(resource.RLIMIT_AS, (now + memory, now + memory))
+        try:
+            there.send((True, f()))
+        except BaseException as e:
+            there.send((False, f"{type(e).__name__}: {e}"[:500]))
+
+    child = context.Process(target=run, daemon=True)
+    child.start()
+    there.close()
     try:
-        return pool.submit(f).result(timeout=seconds)
-    except concurrent.futures.TimeoutError as e:
-        raise ItemTimeout(f"{label}: over {seconds} s") from e
+        if not here.poll(seconds):
+            raise ItemTimeout(f"{label}: over {seconds} s")
+        try:
+            ok, out = here.recv()
+        except EOFError as e:
+            raise DecodeFailed(f"{label}: the process ended") from e
+        if not ok:
+            raise DecodeFailed(f"{label}: {out}")
+        return out
     finally:
-        pool.shutdown(wait=False, cancel_futures=True)
+        child.kill()
+        child.join()
+        here.close()
+
+
+def open_isolated(data: bytes, path: str, *, seconds: float = 60.0, memory: int = 2 << 30) -> tuple[str | None, pa.Table | None, list[tuple[str, str]]]:
+    """open_table in a process of its own: what hangs, crashes or takes too much memory is a failed attempt."""
+    from ..errors import ItemTimeout
+
+    try:
+        return with_deadline(lambda: open_table(data, path), seconds, path, memory)
+    except (ItemTimeout, DecodeFailed) as e:
+        return None, None, [("isolated", str(e)[:200])]
 
 
 def read_duckdb(spark, path: str, limit: int | None = None) -> dict[str, DataFrame]:

@@ -113,6 +113,10 @@ class Records(InputPartition):
     count: int
 
 
+#: The column that option sourceColumn adds: the file that a row came from.
+SOURCE = "_source_path"
+
+
 def _filesystem(path: str):
     import pyarrow.fs
 
@@ -129,9 +133,21 @@ def _header_of(path: str) -> tuple[Header, int]:
         return parse_header(head + f.read(max(0, struct.unpack("<H", head[8:10])[0] - 32))), size
 
 
+def encode(names: list[str], widths: list[int], rows: list[tuple], encoding: str = "latin-1") -> bytes:
+    """A dBase III file of text fields."""
+    head = bytearray(struct.pack("<BBBBIHH20x", 3, 100, 1, 1, len(rows), 33 + 32 * len(names), 1 + sum(widths)))
+    for n, w in zip(names, widths, strict=True):
+        head += struct.pack("<11sc4xBB14x", n.encode("ascii")[:10], b"C", w, 0)
+    body = bytearray()
+    for r in rows:
+        body += b" " + b"".join(("" if v is None else str(v)).encode(encoding, "replace")[:w].ljust(w) for v, w in zip(r, widths, strict=True))
+    return bytes(head) + b"\r" + bytes(body) + b"\x1a"
+
+
 class DbfReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
-        self.names = schema.fieldNames()
+        self.names = [n for n in schema.fieldNames() if n != SOURCE]
+        self.source = SOURCE in schema.fieldNames()
         self.paths = [p for p in options["path"].split(",") if p]
         self.encoding = options.get("encoding")
         self.size = int({k.lower(): v for k, v in options.items()}.get("recordsperpartition", 20 * BATCH))
@@ -139,14 +155,27 @@ class DbfReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out = []
         for p in self.paths:
+            if p.lower().endswith(".dbc"):  # can't be split
+                out.append(Records(p, 0, -1))
+                continue
             h, size = _header_of(p)
             n = min(h.records, (size - h.header_length) // h.record_length)
             out += [Records(p, i, min(self.size, n - i)) for i in range(0, n, self.size)]
         return out or [Records(self.paths[0], 0, 0)]
 
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
-        h, _ = _header_of(partition.path)
+        for b in self.batches(partition):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([partition.path] * len(b), pa.string())], names=[*b.schema.names, SOURCE]) if self.source else b
+
+    def batches(self, partition: Records) -> Iterator[pa.RecordBatch]:
         fs, p = _filesystem(partition.path)
+        if partition.count < 0:
+            from .dbc import unpack
+
+            with fs.open_input_file(p) as f:
+                yield from read_bytes(unpack(f.read()), self.names, self.encoding).to_batches(BATCH)
+            return
+        h, _ = _header_of(partition.path)
         encoding = self.encoding
         with fs.open_input_file(p) as f:
             if not encoding:
@@ -169,9 +198,10 @@ class DbfSource(DataSource):
 
     def schema(self) -> StructType:
         first = next(p for p in self.options["path"].split(",") if p)
-        if first.lower().endswith(".dbc"):
-            raise UnsupportedContainer("compressed .dbc files need a native decompressor that is not installed")
-        return StructType([StructField(f.name, StringType()) for f in _header_of(first)[0].fields])
+        names = [f.name for f in _header_of(first)[0].fields]  # a compressed file's header is plain
+        if {k.lower(): v for k, v in self.options.items()}.get("sourcecolumn") == "true":
+            names.append(SOURCE)
+        return StructType([StructField(n, StringType()) for n in names])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return DbfReader(schema, dict(self.options))
@@ -195,7 +225,12 @@ def read_binary(files: DataFrame, sample: bytes) -> DataFrame:
     def run(batches):
         for b in batches:
             for path, content in zip(b.column(0), b.column(1), strict=True):
-                t = read_bytes(content.as_py(), names)
+                data = content.as_py()
+                if path.as_py().lower().endswith(".dbc"):
+                    from .dbc import unpack
+
+                    data = unpack(data)
+                t = read_bytes(data, names)
                 for x in t.to_batches(BATCH):
                     yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(x), pa.string()), *x.columns], names=["_source_path", *names])
 

@@ -49,23 +49,38 @@ def _prefix(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def read_csv(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """All columns text, empty cells NULL, names in upper case."""
-    head = _prefix(spark, path)
+def breaks_inside(sample: str) -> bool:
+    """Whether a quoted cell of the sample holds a line end. Two quotes in a quoted cell are one."""
+    inside = False
+    for c in sample:
+        if c == '"':
+            inside = not inside
+        elif c == "\n" and inside:
+            return True
+    return False
+
+
+def read_csv(spark: SparkSession, path: str | list[str], *, delimiter: str | None = None, encoding: str | None = None, multiline: bool | None = None, source: str | None = None) -> DataFrame:
+    """All columns text, empty cells NULL, names in upper case (R11). Files of one header; they are split among tasks unless cells hold line ends: `multiline` says so, else the first file's sample. `source` names a column to add: the file of each row."""
+    head = _prefix(spark, path if isinstance(path, str) else path[0])
     encoding = encoding or best_decoding(head)
     delimiter = delimiter or sniff_delimiter(head.decode(encoding, "replace"))
     native = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}.get(encoding)
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=delimiter, encoding=native or "ISO-8859-1", multiLine=True, escape='"', emptyValue="", nullValue="")
+    df = spark.read.csv(path, header=True, inferSchema=False, sep=delimiter, encoding=native or "ISO-8859-1", multiLine=breaks_inside(head.decode(encoding, "replace")) if multiline is None else multiline, escape='"', emptyValue="", nullValue="")
+    if source:
+        df = df.select("*", F.col("_metadata.file_path").alias(source))
+    own = df.columns[: len(df.columns) - bool(source)]
     first = next(csv.reader([head.decode(encoding, "replace").lstrip("\ufeff").split("\n", 1)[0].rstrip("\r")], delimiter=delimiter), [])
-    names = first if len(first) == len(df.columns) else df.columns
+    names = first if len(first) == len(own) else own
     if not native:
         # Spark reads a code page it does not know as Latin-1, byte for byte; its letters are then put in their places.
         high = bytes(range(128, 256))
         table = [(a, b) for a, b in zip(high.decode("latin-1"), high.decode(encoding, "replace"), strict=True) if a != b]
         here, there = "".join(a for a, _ in table), "".join(b for _, b in table)
-        df = df.select(*[F.translate(F.col(f"`{c}`"), here, there).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    df = df.toDF(*unique_names([c.strip().lstrip("\ufeff").upper() for c in names]))
-    return df.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])
+        df = df.select(*[F.translate(F.col(f"`{c}`"), here, there).alias(f"c{i}") for i, c in enumerate(own)], *([source] if source else []))
+    names = unique_names([c.strip().lstrip("\ufeff").upper() for c in names])
+    df = df.toDF(*names, *([source] if source else []))
+    return df.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in names], *([source] if source else []))
 
 
 def flattened(df: DataFrame) -> DataFrame:

@@ -85,8 +85,12 @@ def test_names():
     assert naming.dataset_spec("sih-rd") == ("SIH", "RD")
     with pytest.raises(ValueError):
         naming.dataset_spec("--")
-    assert naming.date_convention(["9901", "9902"], ["a", "a"]) == "monthly"
-    assert naming.two_digit_epoch([], 2026) is None
+
+
+def test_date_conventions(spark):
+    rows = [("a", "s", "9901"), ("a", "s", "9902"), ("b", "s", "2013"), ("b", "s", "2050"), ("c", None, "201501"), ("d", None, "79"), ("d", None, "99"), ("d", None, "05"), ("e", None, "45"), ("e", None, "30"), ("f", None, "2005"), ("g", "s", "2005"), ("g", "s", "2006"), ("h", "s", None)]
+    got = {r.folder: (r.convention, r.epoch) for r in naming.date_conventions(spark.createDataFrame(rows, "folder string, series string, digits string"), 2026).collect()}
+    assert got == {"a": ("monthly", None), "b": ("annual", None), "c": ("explicit", None), "d": ("annual", "pivot"), "e": ("annual", "2000"), "f": ("ambiguous", None), "g": ("monthly", None)}
 
 
 def test_signature_column_equals_the_scalar(spark):
@@ -95,4 +99,4 @@ def test_signature_column_equals_the_scalar(spark):
 
 def test_windows_and_series(spark):
     assert one(spark, ["kit_199801-200512.zip", "/x_200601_200712/kit.zip", "none"], "string", lambda c: naming.kit_window(c)[0]) == [199801, 200601, None]
-    assert one(spark, ["X:RD", "PAUFAAMM", "RD_2015", "RDSP2301", "a b"], "string", naming.canonical_series) == ["RD", "PA", "RD", "RD", "A_B"]
+    assert one(spark, ["X:RD", "PAUFAAMM", "RD_2015", "RDSP2301", "a b"], "string", naming.canonical_series) == ["X", "PA", "RD", "RD", "A B"]

@@ -124,3 +124,43 @@ def test_listings():
     assert kits.parse_listing(["total 2", "-rw-r--r--  1 a b 77 Jan  2  2020 x.csv"])[0]["modified"] == "2020-01-02 00:00"
     with pytest.raises(ValueError):
         kits.parse_listing(["what is this"])
+
+
+def test_imploded_streams_and_compressed_tables(spark, tmp_path):
+    from quillspark.errors import DecodeFailed
+    from quillspark.sources import dbc
+
+    assert dbc.explode(bytes.fromhex("00048224258f807f")) == b"AIAIAIAIAIAIA"  # the format's published example
+    data = bytes(range(256)) * 5
+    assert dbc.explode(dbc.implode(data)) == data and dbc.explode(dbc.implode(b"")) == b""
+    for bad in (b"", b"\x00", b"\x05\x04aa", dbc.implode(data)[:50]):
+        with pytest.raises(DecodeFailed):
+            dbc.explode(bad)
+    packed = dbc.pack(dbf.encode(["A", "B"], [3, 2], [("x", 1), ("ção", None)]))
+    (tmp_path / "t.dbc").write_bytes(packed)
+    got = dbf.read_dbf(spark, f"{tmp_path}/t.dbc", sourceColumn="true").collect()
+    assert [(r.A.strip(), (r.B or "").strip()) for r in got] == [("x", "1"), ("ção", "")] and got[0]["_source_path"].endswith("t.dbc")
+    assert containers.open_table(packed, "x/t.dbc")[0] == "dbc"
+
+
+def test_isolated_work_is_killed_or_fails_apart():
+    import os
+    import time
+
+    from quillspark.errors import DecodeFailed, ItemTimeout
+
+    assert containers.with_deadline(lambda: 7, 20) == 7
+    start = time.perf_counter()
+    with pytest.raises(ItemTimeout):
+        containers.with_deadline(lambda: time.sleep(60), 0.5)
+    assert time.perf_counter() - start < 20
+    with pytest.raises(DecodeFailed):
+        containers.with_deadline(lambda: os._exit(3), 20)
+    reader, table, failed = containers.open_isolated(b"a,b\n1,2\n", "x.csv")
+    assert reader == "csv" and table.num_rows == 1
+
+
+def test_quoted_line_ends_are_seen(spark, tmp_path):
+    assert text.breaks_inside('a,"b\nc"\n') and not text.breaks_inside('a,"b ""x"" c"\nd\n')
+    (tmp_path / "q.csv").write_text('A,B\n1,"x\ny"\n2,z\n')
+    assert [tuple(r) for r in text.read_csv(spark, str(tmp_path / "q.csv")).orderBy("A").collect()] == [("1", "x\ny"), ("2", "z")]
