@@ -78,6 +78,20 @@ def rows_of(df: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
     return few.join(other, on, "left_semi")
 
 
+def without(df: DataFrame, unwanted: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows of df whose `cols` are not found in `unwanted`, told apart in the way of `rows_of`: only rows whose hash `unwanted` has are shuffled."""
+    mark = fresh(df, "mark")
+    hashed = lambda: F.xxhash64(*[F.col(c) for c in cols]).bitwiseAND(F.lit(MARKS - 1))
+    keys = unwanted.select(*cols).distinct()
+    marks = F.broadcast(keys.select(hashed().alias(mark)).distinct())
+    other = keys.select(*[F.col(c).alias(f"__{c}") for c in cols])
+    on = same(F.col(cols[0]), F.col(f"__{cols[0]}"))
+    for c in cols[1:]:
+        on = on & same(F.col(c), F.col(f"__{c}"))
+    marked = df.withColumn(mark, hashed())
+    return marked.join(marks, mark, "left_anti").unionByName(marked.join(marks, mark, "left_semi").join(other, on, "left_anti")).drop(mark)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     have = {c.lower() for c in df.columns}

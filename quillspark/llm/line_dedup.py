@@ -32,9 +32,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Written, fresh, rows_of, same
+from ._common import Written, fresh, rows_of, same, without
 
-PERCENT, HOT, LEVELS = 90, 256, 3
+PERCENT, HOT, LEVELS = 90, 4096, 3
+#: PARTS: the rows of words meet in so many parts, one after another, which bounds the disk.
+PARTS = 4
 COUNTERS, MAP_BITS, POSITION_BITS, SIZE_BITS = 1 << 16, 40, 8, 15
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -86,8 +88,8 @@ def _traits(lines: DataFrame) -> DataFrame:
 
 def _prefix(ranks: list[int], percent: int, level: int) -> Column:
     """The words of a line's prefix, longer by level - 1, rarest first. A word is its rank and 56 bits of its hash, so that numbers sort by rarity."""
-    table = F.split(F.lit(",".join(str(r << 56) for r in ranks)), ",").cast("array<bigint>")  # a constant
-    ranked = lambda h: F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(_bits(56))))
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # a constant; plans show it, so its numbers are short
+    ranked = lambda h: F.call_function("shiftleft", F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(_bits(56))))
     return F.slice(F.sort_array(F.transform("w", ranked)), F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + level).cast("int"))
 
 
@@ -116,12 +118,14 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ranks = rarity(lines)
 
     first = lines.groupBy("mark", "mark2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
-    copies = write(lines.select("place", "mark", "mark2").join(first, ["mark", "mark2"]).where("place > first").select("place", "mark").distinct())
+    copies = write(rows_of(lines.select("place", "mark", "mark2"), first, ["mark", "mark2"]).join(first, ["mark", "mark2"]).where("place > first").select("place", "mark").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(place, mark) of the lines of pairs (place, other) that match."""
         pairs = write(pairs)
+        write.settle()
         found = write(rows_of(lines.select("place", "mark", "w"), pairs.select("place").union(pairs.select("other")), ["place"]))
+        write.settle()
         both = pairs.join(found, "place").join(found.select(F.col("place").alias("other"), F.col("w").alias("v")).distinct(), "other")
         inter = F.size(F.array_intersect("w", "v")).cast("long")
         out = write(both.where(inter * 100 >= F.lit(percent) * (F.size("w") + F.size("v") - inter)).select("place", "mark").distinct())
@@ -143,20 +147,26 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         rows = write(rows)
         write.settle()
         heads = rows.groupBy("key").agg(F.min("place").alias("hub"), F.min_by("load", "place").alias("hub_load"), F.count("*").alias("size")).where("size > 1")
-        shared = rows.join(heads, "key").where("place > hub")
-        shared = write(shared.select(*rows.columns, "hub", "size", _may_match("load", "hub_load", percent, level).alias("near")))
+        shared, parted = None, []
+        for part in range(PARTS):
+            mine = F.pmod("key", F.lit(PARTS)) == part
+            some = rows.where(mine).join(heads.where(mine), "key").where("place > hub")
+            some = write(some.select(*rows.columns, "hub", "size", _may_match("load", "hub_load", percent, level).alias("near")))
+            write.settle()
+            parted.append(some)
+            shared = some if shared is None else shared.unionByName(some)
         write.drop(rows)
-        write.settle()
         near = shared.where("near").select("place", "mark", F.col("hub").alias("other"))
         if level > 1:
             near = near.join(gone, ["place", "mark"], "left_anti")
         gone = merged(gone, verified(near.select("place", "other").distinct()))
         write.settle()
         # Keys of three lines or more have pairs without the earliest line.
-        left = shared.where("size > 2").join(gone.withColumn("out", F.lit(True)), ["place", "mark"], "left")
+        many, gone_rows = shared.where("size > 2"), rows_of(shared.where("size > 2"), gone, ["place", "mark"]).withColumn("out", F.lit(True))
+        left = without(many, gone, ["place", "mark"]).withColumn("out", F.lit(None).cast("boolean")).unionByName(gone_rows)
         left = left.withColumns({"hot": F.col("size") > F.lit(HOT if level < LEVELS else _bits(62)), "open": F.col("out").isNull()}).drop("hub", "size", "near", "out")
         left = write(left)
-        write.drop(shared)
+        write.drop(*parted)
         write.settle()
         # Lines so short that a match may need no more words than a key has cannot go on to a longer key.
         n = F.shiftright("load", POSITION_BITS + MAP_BITS)
@@ -176,7 +186,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         rows = write(rows)
         write.drop(left)
     out = copies.unionByName(gone).distinct()
-    out = write(out.join(lines.select("place", "mark", "doc"), ["place", "mark"]).distinct())
+    out = write(rows_of(lines.select("place", "mark", "doc"), out, ["place", "mark"]).distinct())
     write.drop(lines, copies, gone)
     write.settle()
     if shift:
