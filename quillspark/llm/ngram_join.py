@@ -155,7 +155,14 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     write = Written(docs.sparkSession, "ngram-join")
     signed = write(_sets(docs.withColumn("doc", F.xxhash64("text")), n, percent, True))
     # Copies of a set meet map-side first, so that a set that many documents have is one row a task.
-    owners = write(signed.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("sigs").alias("sigs")).withColumn("vid", F.monotonically_increasing_id()))
+    owners, parted = None, []
+    for part in range(PARTS):
+        some = signed.where((F.col("n") > 0) & (F.pmod("a", F.lit(PARTS)) == part)).groupBy("a", "b")
+        some = some.agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("sigs").alias("sigs"))
+        some = write(some.withColumn("vid", F.monotonically_increasing_id() * PARTS + part))
+        write.settle()
+        parted.append(some)
+        owners = some if owners is None else owners.unionByName(some)
     members = write(signed.select("doc_id", "doc", "n", "a", "b"))
     write.drop(signed)
     write.settle()
@@ -173,9 +180,8 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     rows = write(rows.join(rows.groupBy("sig").agg(first.alias("h")).select("sig", F.col("h.vid").alias("hub"), F.col("h.n").alias("hub_n")), "sig"))  # of groups with several members: sig, vid, n, met, hub, hub_n
     write.settle()
     traits = write(owners.select("vid", "n", "map").join(rows.select("vid").distinct(), "vid", "left_semi"))
-    bare = owners
     owners = write(owners.select("vid", "owner", "a", "b"))
-    write.drop(bare)
+    write.drop(*parted)
 
     def sized(n: str, m: str) -> Column:
         """Whether two sizes allow a link."""
