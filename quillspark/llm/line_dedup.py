@@ -4,9 +4,10 @@ A line's set is its distinct lower-cased words. A line is removed when an earlie
 number) has a Jaccard similarity of `percent` or more with it, whether or not that one is removed too. A line
 without words has an empty set, which matches nothing.
 
-1. One pass over the texts writes (place, hash, word hashes) of every line that has words; later steps read that.
-2. Word counts go into a table of 65,536 hashed counters (fixed size), which orders words by rarity; the order
+1. Word counts go into a table of 65,536 hashed counters (fixed size), which orders words by rarity; the order
    only steers the work, any order gives the same result.
+2. One pass over the texts writes the place, hash, size, parity map and rarest words of every line that has words.
+   Not all its words: they take more room than the text, and only lines that are compared in full need them again.
 3. Lines of equal sets, exact copies among them, are found by hash aggregation; all but the first are removed.
 4. Every line emits its rarest words, its prefix: lines that match share a word of both prefixes. A row holds the
    word, the line's place and a packed load: size, position of the word, and a 40-bit parity map of the set. Lines of
@@ -22,7 +23,8 @@ Defined results: null text stays null and empty text empty, with no lines remove
 text are at one place and do not remove each other; rows that share an id but not a text are told apart by their
 texts; null ids come before all others; an empty table gives no rows. Ids are of any type that has an order; integer
 ids that fit 63 bits together with the line numbers make a place one number, others a pair. Other columns are
-carried along untouched by `dedup`.
+carried along untouched by `dedup`. The documents are read once a step and again for each comparison of words, so
+they should be a table, not a long plan.
 """
 
 from __future__ import annotations
@@ -41,19 +43,23 @@ COUNTERS, MAP_BITS, POSITION_BITS, SIZE_BITS = 1 << 16, 40, 8, 15
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-def _words(line: Column) -> Column:
-    """Hashes of a line's distinct lower-cased words. Lines without other white space are cut at single spaces, the fast way."""
+def _cut(line: Column) -> Column:
+    """A line's lower-cased words, and empty ones. Lines without other white space are cut at single spaces, the fast way."""
     other = F.lit(False)
     for c in "\t\x0b\x0c\r":
         other = other | F.contains(line, F.lit(c))
-    cut = F.when(other, F.split(line, SPACES)).otherwise(F.split(line, " "))
-    return F.array_remove(F.array_distinct(F.transform(cut, lambda w: F.xxhash64(F.lower(w)))), F.xxhash64(F.lit("")))
+    return F.when(other, F.split(F.lower(line), SPACES)).otherwise(F.split(F.lower(line), " "))
+
+
+def _words(line: Column) -> Column:
+    """Hashes of a line's distinct words, sorted."""
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_cut(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
 
 
 def rarity(lines: DataFrame) -> list[int]:
     """For each hashed counter a rank of up to 127 that grows with the logarithm of its count, over the words of all lines. COUNTERS rows reach the driver."""
     out = [0] * COUNTERS
-    for r in lines.select(F.explode("w").alias("w")).select(F.col("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("k")).groupBy("k").count().collect():
+    for r in lines.select(F.explode(_cut(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("k")).groupBy("k").count().collect():
         out[r[0]] = min(127, int(2.5 * math.log2(r[1] + 1)))
     return out
 
@@ -86,11 +92,20 @@ def _traits(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"n": F.size("w").cast("long"), "map": parity})
 
 
-def _prefix(ranks: list[int], percent: int, level: int) -> Column:
-    """The words of a line's prefix, longer by level - 1, rarest first. A word is its rank and 56 bits of its hash, so that numbers sort by rarity."""
+def _length(percent: int, level: int) -> Column:
+    """The length of a line's prefix at a level: longer by level - 1."""
+    return (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + level).cast("int")
+
+
+def _rarest(ranks: list[int], percent: int) -> Column:
+    """The words of a line's prefix at the last level, rarest first. A word is its rank and 56 bits of its hash, so that numbers sort by rarity."""
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # a constant; plans show it, so its numbers are short
     ranked = lambda h: F.call_function("shiftleft", F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(_bits(56))))
-    return F.slice(F.sort_array(F.transform("w", ranked)), F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + level).cast("int"))
+    return F.slice(F.sort_array(F.transform("w", ranked)), F.lit(1), _length(percent, LEVELS))
+
+
+def _prefix(percent: int, level: int) -> Column:
+    return F.slice("rarest", F.lit(1), _length(percent, level))
 
 
 def _load(at: Column) -> Column:
@@ -111,11 +126,12 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         place = F.coalesce(F.col("id").cast("long") - low + 1, F.lit(0)) * (1 << shift) + F.col("pos")
     else:
         place = F.struct(F.col("id").isNotNull().alias("named"), F.col("id").alias("id"), F.col("pos").alias("pos"))
-    lines = docs.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    raw = docs.select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     # The filter looks at the line, not at its words: Spark would move that below the projection and hash all words twice.
-    lines = lines.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").select(place.alias("place"), "doc", F.sort_array(_words(F.col("line"))).alias("w"))
-    lines = write(lines.select("place", "doc", F.xxhash64("w").alias("mark"), F.xxhash64(F.lit("second"), "w").alias("mark2"), "w"))
-    ranks = rarity(lines)
+    raw = raw.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").select(place.alias("place"), "doc", "line")
+    ranks = rarity(raw)
+    lines = _traits(raw.select("place", "doc", _words(F.col("line")).alias("w")))
+    lines = write(lines.select("place", "doc", F.xxhash64("w").alias("mark"), F.xxhash64(F.lit("second"), "w").alias("mark2"), "n", "map", _rarest(ranks, percent).alias("rarest")))
 
     first = lines.groupBy("mark", "mark2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
     copies = write(rows_of(lines.select("place", "mark", "mark2"), first, ["mark", "mark2"]).join(first, ["mark", "mark2"]).where("place > first").select("place", "mark").distinct())
@@ -124,7 +140,8 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         """(place, mark) of the lines of pairs (place, other) that match."""
         pairs = write(pairs)
         write.settle()
-        found = write(rows_of(lines.select("place", "mark", "w"), pairs.select("place").union(pairs.select("other")), ["place"]))
+        found = rows_of(raw.select("place", "line"), pairs.select("place").union(pairs.select("other")), ["place"])
+        found = write(found.select("place", _words(F.col("line")).alias("w")).select("place", F.xxhash64("w").alias("mark"), "w"))
         write.settle()
         both = pairs.join(found, "place").join(found.select(F.col("place").alias("other"), F.col("w").alias("v")).distinct(), "other")
         inter = F.size(F.array_intersect("w", "v")).cast("long")
@@ -138,7 +155,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return out
 
     # The generator's input is no column of its own, or Spark would infer a filter from it and compute it twice.
-    rows = _traits(lines.select("place", "mark", "w")).select("place", "mark", "n", "map", F.posexplode(_prefix(ranks, percent, 1)).alias("i", "tok"))
+    rows = lines.select("place", "mark", "n", "map", F.posexplode(_prefix(percent, 1)).alias("i", "tok"))
     rows = rows.select(F.col("tok").alias("key"), "place", "mark", _load(F.col("i")).alias("load"), "tok")
     gone = write(copies.limit(0))
     for level in range(1, LEVELS + 1):
@@ -178,7 +195,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         if level == LEVELS or hot.where("open").isEmpty():
             write.drop(left)
             break
-        longer = _traits(rows_of(lines.select("place", "mark", "w"), hot, ["place"])).withColumn("words", _prefix(ranks, percent, level + 1)).drop("w")
+        longer = rows_of(lines.select("place", "mark", "n", "map", "rarest"), hot, ["place"]).withColumn("words", _prefix(percent, level + 1)).drop("rarest")
         rows = hot.select("key", "place", "mark", (F.col("tok") if level > 1 else F.col("key")).alias("tok")).join(longer, ["place", "mark"])
         at = F.array_position("words", F.col("tok")).cast("int")
         rows = rows.select("key", "place", "mark", "n", "map", at.alias("at"), F.posexplode(F.slice("words", at + 1, F.greatest(F.size("words") - at, F.lit(0)))).alias("i", "tok"))
