@@ -19,9 +19,10 @@ Plan, with rows in the order of documents:
 3. Pairs are made distinct; those that sizes and parity maps of the sets still allow are verified exactly on the
    sets; links give components.
 4. In groups whose members are now all in one component no pair is left to find. Where there are several, members
-   are paired with the next hub (HUB_ROUNDS more), and what is left after that pairwise. A pair is only skipped
-   where it can't matter: both in one component, or a link is ruled out by sizes, by parity maps of the sets, or by
-   the triangle inequality of the Jaccard distances to the hub.
+   are paired with the next hub (HUB_ROUNDS more). What is left after that is compared in the order of signatures,
+   BLOCK members with BLOCK members at a time, without a row for each pair: only pairs that may link become rows. A
+   pair is only skipped where it can't matter: both in one component, or a link is ruled out by sizes, by parity maps
+   of the sets, or by the triangle inequality of the Jaccard distances to the hub.
 So no link between different components is lost, and components are those of all links.
 
 Defined results: a null or wordless text has an empty set, size 0, and is a class of its own; fewer words than n
@@ -34,6 +35,8 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,8 @@ from ._common import NOT_SPACE, Written, as_bytes, fresh, mix, rows_of, runs_has
 from ._graph import components
 
 #: PARTS: the signatures are looked at in so many parts, one after another, so that no more than one part's shuffle files are there at once.
-HUB_ROUNDS, PARTS, MAP_SHARE, FEW = 1, 4, 24, 2
+#: BLOCK: members of a group that are compared with each other in one task.
+HUB_ROUNDS, PARTS, MAP_SHARE, FEW, BLOCK = 1, 4, 24, 2, 1024
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 SET = StructType([StructField("n", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("sigs", ArrayType(LongType())), StructField("items", ArrayType(LongType())), StructField("map", ArrayType(LongType()))])
 
@@ -150,6 +154,76 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(_folded(x, words), _folded(y, words), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, z: t + z)
 
 
+def near_pairs(vid: np.ndarray, n: np.ndarray, label: np.ndarray, far: np.ndarray, side: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """The pairs of a group's members (rows of two vids, the lesser first) that may link: of different labels and, where there are two sides, of different sides; sizes, distances to the hub (nan where unknown) and parity maps allow a link."""
+    words = min(map(len, maps))
+    bits = np.stack([np.bitwise_xor.reduce(m.reshape(-1, words), axis=0) for m in maps]).view(np.uint64)
+    # The members of the commonest label come last: no two of them need a look.
+    labels, at, times = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.argsort(times[at], kind="stable")
+    order = order[np.lexsort((at[order] == times.argmax(),))]
+    vid, n, label, far, side, bits = vid[order], n[order], label[order], far[order], side[order], bits[order]
+    first, halves = len(vid) - int(times.max()), side.min() != side.max()
+    reach, out = (100 - percent) / 100 + 1e-9, []
+    step = max(1, (1 << 21) // (len(vid) * words))
+    for a in range(0, first, step):
+        b = min(a + step, first)
+        x, y = np.arange(a, b)[:, None], np.arange(a + 1, len(vid))[None, :]
+        total = n[x] + n[y]
+        may = (x < y) & (label[x] != label[y]) & (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent) & ~(np.abs(far[x] - far[y]) > reach)
+        if halves:
+            may &= side[x] != side[y]
+        i, j = np.nonzero(may)
+        i, j, total = i + a, j + a + 1, total[i, j]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        near = apart * (100 + percent) <= total * (100 - percent)
+        out.append(np.stack([np.minimum(vid[i], vid[j])[near], np.maximum(vid[i], vid[j])[near]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _compared(left: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (vid, hub) that `near_pairs` finds in the groups of left (sig, vid, n, l, far). A group of several blocks goes out as pairs of blocks, so that it is no one task's work."""
+    sizes = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = left.select("sig", "vid", "n", "l", "far").join(sizes, "sig").withColumn("mine", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A pair of blocks has one block's members on each side; a block alone, which has no sides, is compared within itself.
+    cut = cut.select("sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "vid", "n", "l", F.coalesce("far", F.lit(float("nan"))).alias("far"))
+    cut = cut.join(traits.select("vid", "map"), "vid").select("sig", "lo", "hi", "mine", "vid", "n", "l", "far", "map")
+    cut = cut.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            sig, lo, hi, mine, vid, n, label, far = (table.column(i).to_numpy() for i in range(8))
+            maps = table.column(8).combine_chunks()
+            starts, flat = maps.offsets.to_numpy(), maps.values.to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(sig) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            found = []
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(sig)], strict=True):
+                if b - a > 1 and (lo[a] == hi[a] or mine[a:b].min() != mine[a:b].max()):
+                    found.append(near_pairs(vid[a:b], n[a:b], label[a:b], far[a:b], mine[a:b], [flat[starts[i] : starts[i + 1]] for i in range(a, b)], percent))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            for i in range(0, len(pairs), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), 0]), pa.array(pairs[i : i + (1 << 16), 1])], names=["vid", "hub"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Rows from the batch's last key on wait for the next batch.
+            key = [batch.column(i).to_numpy() for i in range(3)]
+            last = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+            at = int(last[-1]) + 1 if len(last) else 0
+            if at or (rest and any(rest[-1].column(i)[-1] != batch.column(i)[0] for i in range(3))):
+                yield from groups(pa.Table.from_batches([*rest, batch.slice(0, at)]))
+                rest = []
+            rest.append(batch.slice(at))
+        if rest:
+            yield from groups(pa.Table.from_batches(rest))
+
+    return cut.mapInArrow(run, "vid long, hub long").distinct()
+
+
 def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, doc, n, a, b) of each row of `docs` (doc_id, text), doc the text's hash; and (a, b, owner, l) of each set that is not empty: its least id and its component."""
     write = Written(docs.sparkSession, "ngram-join")
@@ -224,19 +298,23 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         left = write(left.select("sig", "vid", "n", "met", F.col("next").alias("hub"), "l", "far"))
         if left.isEmpty():
             break
-        # A pair may meet under many signatures; its maps are compared once.
-        near = sized("n", "other_n") & F.coalesce(F.abs(F.col("far") - F.col("other_far")) <= reach, F.lit(True))
         if turn < HUB_ROUNDS:
+            # A pair may meet under many signatures; its maps are compared once.
+            near = sized("n", "other_n") & F.coalesce(F.abs(F.col("far") - F.col("other_far")) <= reach, F.lit(True))
             heads = left.where("vid = hub").select("sig", F.col("l").alias("other_l"), F.col("far").alias("other_far"), F.col("n").alias("other_n")).dropDuplicates(["sig"])
-            more = left.where("vid <> hub").join(heads, "sig").where((F.col("l") != F.col("other_l")) & near).select("vid", "hub").distinct()
+            more = mapped(left.where("vid <> hub").join(heads, "sig").where((F.col("l") != F.col("other_l")) & near).select("vid", "hub").distinct())
         else:
-            other = left.select("sig", F.col("vid").alias("other"), F.col("l").alias("other_l"), F.col("far").alias("other_far"), F.col("n").alias("other_n"))
-            more = left.join(other, "sig").where((F.col("l") < F.col("other_l")) & near).select("vid", F.col("other").alias("hub")).distinct()
-        more = mapped(more)
+            parts = []
+            for part in range(PARTS):
+                parts.append(write(_compared(left.where(F.pmod("sig", F.lit(PARTS)) == part), traits, percent)))
+                write.settle()
+            more = mapped(reduce(DataFrame.unionByName, parts).distinct())
         seen = verified(more)
         found = write(seen.where("linked").select(F.col("vid").alias("u"), F.col("hub").alias("v")))
         if turn:
             write.drop(before)
+        if turn == HUB_ROUNDS:
+            write.drop(*parts)
         before = left
         rows = left.select("sig", "vid", "n", "met", "hub", "far")
         if not found.isEmpty():

@@ -129,6 +129,33 @@ def test_signatures_are_shared_by_all_sets_that_link():
             assert len(np.intersect1d(ngram_join.signatures(a, bands), ngram_join.signatures(b, bands)))
 
 
+def test_members_of_a_large_group_are_compared_in_blocks_and_only_near_ones_become_rows(spark, monkeypatch):
+    """Groups of members that are not linked, which the last round paired out on rows before."""
+    rng = random.Random(8)
+    base = rng.sample(range(1, 1 << 60), 150)
+    sets = [sorted(rng.sample(base, 138) + rng.sample(range(1, 1 << 60), rng.choice((5, 12, 40)))) for _ in range(60)]
+    sets += [[*x[:-1], 7] for x in sets[:6]]
+    label = [0] * 20 + list(range(1, 47))
+    far = [rng.choice((None, 0.1, 0.15, 0.3)) for _ in sets]
+    maps = [ngram_join.parity_map(np.array(x, np.uint64)) for x in sets]
+    assert len({len(m) for m in maps}) == 1
+    want = set()
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            n, m = len(x), len(sets[j])
+            fits = 100 * n >= 90 * m and 100 * m >= 90 * n and (far[i] is None or far[j] is None or abs(far[i] - far[j]) <= 0.1 + 1e-9)
+            apart = sum(int(p ^ q).bit_count() for p, q in zip(maps[i].view(np.uint64).tolist(), maps[j].view(np.uint64).tolist()))
+            if fits and label[i] != label[j] and apart * 190 <= (n + m) * 10:
+                want.add((i, j))
+    assert 3 <= len(want) < 200
+    rows = [(s, i, len(x), label[i], far[i]) for s in (-5, 9) for i, x in enumerate(sets)] + [(11, 3, len(sets[3]), 0, None)]
+    left = spark.createDataFrame(rows, "sig long, vid long, n long, l long, far double")
+    traits = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(maps)], "vid long, map array<long>")
+    for block in (1024, 7):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        assert sorted((r.vid, r.hub) for r in ngram_join._compared(left, traits, 90).collect()) == sorted(want)
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.classes(docs_of(spark, [])).count() == 0
     rows = [(7, "a b c d"), (7, "a b c d"), (3, "a b c d"), (None, "a b c d"), (9, None), (9, None)]
