@@ -6,12 +6,11 @@ descriptor, not of the search), each gets an orientation from its patch's intens
 256 binary tests turned by that orientation.
 
 Hamming tables: a descriptor is cut into TABLES keys of 256 / TABLES bits, so two within TABLES - 1 bits of each
-other share a key. Images of equal pixels become one representative first. Members of a key with few points are
-paired out. A larger key's group is not: every member meets the group's least image, so a group of m makes m pairs
-however large it is. An image has dozens of points of TABLES keys each, so copies that miss each other under one key
-mostly meet under another, but where all keys that two copies share are such hot ones, led by other images, their
-link is lost. Matches vote for a similarity transform (rotation, scale, shift) in coarse cells; an image pair with
-VOTES points in one cell is linked, and linked images form classes.
+other share a key. Images of equal pixels become one representative first. Every image's points meet those of every
+other image that share a key, however many do: BLOCK images at a time are broadcast with their sorted keys, and all
+images look them up in one pass without a shuffle. Matches vote for a similarity transform (rotation, scale, shift)
+in coarse cells; an image pair with VOTES points in one cell is linked, and linked images form classes. No link is
+lost, but points that many images have cost a comparison for each pair of them, and there is a pass for each block.
 
 Defined results: a null or unreadable image (one without pixels, or with more than MOST_PIXELS, too) has no points and is a class of its own, as is a flat one; rows that
 repeat an id are one image (that of least digest) and keep their rows; an empty table gives no rows; ids are
@@ -24,6 +23,7 @@ import hashlib
 import math
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -37,8 +37,8 @@ from ._graph import components
 
 SCALES, POINTS, RADIUS, BITS, TABLES, VOTES = (1.0, 0.7071, 0.5), 48, 12, 256, 8, 6
 TURNS = 30
-#: Keys of up to SMALL points are paired out, larger ones with their hub. PARTS: image pairs are counted and verified in so many parts, which bounds the disk, as does one table after another. Larger images than MOST_PIXELS count as unreadable.
-SMALL, PARTS, MOST_PIXELS = 8, 4, 1 << 27
+#: BLOCK: images that are broadcast at once, about 12 KB each. STEP: point pairs compared at once. Larger images than MOST_PIXELS count as unreadable.
+BLOCK, STEP, MOST_PIXELS = 2048, 1 << 20, 1 << 27
 
 POINT = StructType([StructField(c, FloatType()) for c in ("x", "y", "scale", "angle")] + [StructField("d", ArrayType(LongType()))])
 DESCRIBED = StructType([StructField("sha", StringType()), StructField("points", ArrayType(POINT))])
@@ -201,21 +201,88 @@ def _described(data: bytes | None) -> dict:
     return {"sha": hashlib.sha256(repr(img.shape).encode() + img.tobytes()).hexdigest(), "points": describe(img)}
 
 
-def _linked(pairs: DataFrame, p: DataFrame, q: DataFrame) -> DataFrame:
-    """(u, v) of the image pairs of which VOTES matching points agree on a transform. pairs: rep, i, other, j; p and q: the points."""
-    q = q.select(F.col("rep").alias("other"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in ("x", "y", "scale", "angle", "d")])
-    both = pairs.join(p, ["rep", "i"]).join(q, ["other", "j"])
-    far = sum((F.bit_count(F.col("d")[k].bitwiseXOR(F.col("d2")[k])) for k in range(BITS // 64)), F.lit(0))
-    both = both.where(far <= TABLES - 1)
-    turn = F.col("angle2") - F.col("angle")
-    zoom = F.col("scale") / F.col("scale2")
-    dx = F.col("x2") - zoom * (F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y"))
-    dy = F.col("y2") - zoom * (F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y"))
-    cell = lambda v, size, shift: F.floor(v / size + shift)
-    turned = F.pmod(F.rint(turn / (2 * math.pi) * 12), F.lit(12.0))
-    votes = both.select("rep", "other", "i", turned.alias("t"), F.rint(2 * F.log2(zoom)).alias("z"), dx.alias("dx"), dy.alias("dy"))
-    votes = votes.select("rep", "other", "i", "t", "z", F.explode(F.array(*[F.struct(F.lit(k).alias("g"), cell(F.col("dx"), 12, k / 2).alias("u"), cell(F.col("dy"), 12, k / 2).alias("v")) for k in (0, 1)])).alias("c"))
-    return votes.groupBy("rep", "other", "t", "z", "c").agg(F.count_distinct("i").alias("n")).where(F.col("n") >= VOTES).select(F.col("rep").alias("u"), F.col("other").alias("v")).distinct()
+def _points(reps: np.ndarray, points: pa.ListArray) -> dict[str, np.ndarray]:
+    """The points of images as arrays: rep, i (number in the image), x, y, scale, angle and d (rows of 64-bit words)."""
+    starts, flat = points.offsets.to_numpy(), points.flatten()
+    counts = np.diff(starts)
+    out = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "y", "scale", "angle")}
+    out["d"] = flat.field("d").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64)
+    return {**out, "rep": np.repeat(reps, counts), "i": np.arange(len(flat)) - np.repeat(starts[:-1] - starts[0], counts)}
+
+
+def _keys(d: np.ndarray) -> np.ndarray:
+    return d.view(np.uint32).reshape(len(d), TABLES)
+
+
+def matches(p: dict[str, np.ndarray], q: dict[str, np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in p and q of the points within TABLES - 1 bits of each other, of images of greater and lesser id; each pair once, by the first key that it shares. tables: q's sorted order and keys."""
+    mine, other = _keys(p["d"]), _keys(q["d"])
+    for t, (order, keys) in enumerate(tables):
+        low = np.searchsorted(keys, mine[:, t], "left")
+        n = np.searchsorted(keys, mine[:, t], "right") - low
+        total, a = np.cumsum(n), 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + STEP, "right")))
+            times = n[a:b]
+            i = np.repeat(np.arange(a, b), times)
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[a:b], times)]
+            a = b
+            may = p["rep"][i] > q["rep"][j]
+            i, j = i[may], j[may]
+            may = np.bitwise_count(p["d"][i] ^ q["d"][j]).sum(axis=1, dtype=np.int64) <= TABLES - 1
+            i, j = i[may], j[may]
+            may = ~(mine[i, :t] == other[j, :t]).any(axis=1)
+            if may.any():
+                yield i[may], j[may]
+
+
+def linked(p: dict[str, np.ndarray], q: dict[str, np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Rows (rep, other) of the image pairs of which VOTES matching points agree on a transform."""
+    found = list(matches(p, q, tables))
+    if not found:
+        return np.zeros((0, 2), np.int64)
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    rep, other = p["rep"][i], q["rep"][j]
+    # Pairs of images with fewer matches than votes go first.
+    _, at, times = np.unique(np.stack([rep, other]), axis=1, return_inverse=True, return_counts=True)
+    enough = times[at.reshape(-1)] >= VOTES
+    i, j, rep, other = i[enough], j[enough], rep[enough], other[enough]
+    turn, zoom = q["angle"][j] - p["angle"][i], p["scale"][i] / q["scale"][j]
+    dx = q["x"][j] - zoom * (np.cos(turn) * p["x"][i] - np.sin(turn) * p["y"][i])
+    dy = q["y"][j] - zoom * (np.sin(turn) * p["x"][i] + np.cos(turn) * p["y"][i])
+    turned, zoomed = np.rint(turn / (2 * math.pi) * 12) % 12, np.rint(2 * np.log2(zoom))
+    out = []
+    for k in (0, 1):
+        cell = np.stack([x.astype(np.int64) for x in (rep, other, turned, zoomed, np.floor(dx / 12 + k / 2), np.floor(dy / 12 + k / 2), p["i"][i])])
+        cells, votes = np.unique(np.unique(cell, axis=1)[:6], axis=1, return_counts=True)
+        out.append(cells[:2, votes >= VOTES].T)
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _links(own: DataFrame, write: Written) -> DataFrame:
+    """(u, v) of the linked image pairs of own (rep, points)."""
+    spark, blocks = own.sparkSession, -(-own.count() // BLOCK)
+    found = []
+    for block in range(max(1, blocks)):
+        table = own.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, blocks))) == block).select("rep", "points").toArrow().combine_chunks()
+        q = _points(table.column(0).to_numpy(), pa.concat_arrays(table.column(1).chunks) if table.num_rows else pa.array([], ARROW.field("points").type))
+        keys = _keys(q["d"])
+        order = [np.argsort(keys[:, t], kind="stable") for t in range(TABLES)]
+        sent = spark.sparkContext.broadcast((q, [(o, keys[o, t]) for t, o in enumerate(order)]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q, tables = sent.value
+            for batch in batches:
+                # A few images at a time, so that their matches fit into memory.
+                for a in range(0, batch.num_rows, 16):
+                    part = batch.slice(a, 16)
+                    pairs = linked(_points(part.column(0).to_numpy(), part.column(1)), q, tables)
+                    if len(pairs):
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+        found.append(write(own.select("rep", "points").mapInArrow(run, "u long, v long")))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def copies(media: DataFrame, *, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
@@ -230,37 +297,7 @@ def copies(media: DataFrame, *, id_col: str = "media_id", image_col: str = "imag
     own = write(described.dropDuplicates(["sha"]).join(reps, "sha").select("rep", "sha", "points"))
     write.drop(described)
     write.settle()
-    p = own.select("rep", F.posexplode("points").alias("i", "p")).select("rep", "i", "p.x", "p.y", "p.scale", "p.angle", "p.d")
-    width = BITS // TABLES
-    keys = [F.shiftright(F.call_function("get", "d", F.lit(t * width // 64)), t * width % 64).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(t << width).cast("long")) for t in range(TABLES)]
-    hits = []
-    for key in keys:
-        rows = p.select("rep", "i", key.alias("key"))
-        shared = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size")).where("hub < last").select("key", "hub", (F.col("size") <= SMALL).alias("small"))
-        rows = write(rows.join(shared, "key"))
-        write.settle()
-        first = rows.where("rep = hub").select("key", F.col("rep").alias("other"), F.col("i").alias("j"))
-        every = rows.where("small").select("key", F.col("rep").alias("other"), F.col("i").alias("j"))
-        met = rows.where("rep > hub and not small").join(first, "key").unionByName(rows.where("small").join(every, "key").where("rep > other"))
-        hits.append(write(met.select("rep", "other", F.shiftleft("i", 16).bitwiseOR(F.col("j")).alias("ij"))))
-        write.drop(rows)
-        write.settle()
-    # One row an image pair until it is known that enough of its points meet; the others cannot be linked, and no descriptor is read for them.
-    pairs, in_part = [], lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS))
-    for part in range(PARTS):
-        met = reduce(DataFrame.unionByName, hits).where(in_part("rep") == part).groupBy("rep", "other").agg(F.collect_set("ij").alias("ij"))
-        met = met.where(F.size(F.array_distinct(F.transform("ij", lambda x: F.shiftright(x, 16)))) >= VOTES).select("rep", "other", F.explode("ij").alias("ij"))
-        pairs.append(write(met.select("rep", F.shiftright("ij", 16).alias("i"), "other", F.col("ij").bitwiseAND(F.lit(65535)).alias("j"))))
-        write.settle()
-    write.drop(*hits)
-    # A part's pairs meet the points of one part of the other images at a time, so that all points are never in one shuffle.
-    links = []
-    for part in range(PARTS):
-        for turn in range(PARTS):
-            links.append(write(_linked(pairs[part].where(in_part("other") == turn), p.where(in_part("rep") == part), p.where(in_part("rep") == turn))))
-            write.settle()
-        write.drop(pairs[part])
-    links = reduce(DataFrame.unionByName, links)
+    links = _links(own, write)
     n_links = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").count()
     label = components(links, write)
     named = own.select("sha", "rep", F.size("points").cast("long").alias("n_points")).join(label.select(F.col("u").alias("rep"), F.col("v").alias("class_id")), "rep", "left").join(n_links.select(F.col("u").alias("rep"), F.col("count").alias("n_links")), "rep", "left")

@@ -370,6 +370,23 @@ def test_images_of_equal_pixels_are_one_class(spark):
     assert got == [(1, 1), (2, 2), (5, 5), (6, 5), (7, 5), (7, 5), (8, 5)]
 
 
+def test_copies_whose_keys_many_other_images_share_are_linked(spark, monkeypatch):
+    """All points of images 21 and 20 have descriptors that twelve other images with lesser ids have at other places, so every key is of many points."""
+    rng = np.random.RandomState(9)
+    words = rng.randint(-(2**62), 2**62, (8, 4)).tolist()
+
+    def points(places):
+        return [(float(x), float(y), 1.0, 0.0, d) for (x, y), d in zip(places, words, strict=True)]
+
+    copied = rng.randint(0, 4000, (8, 2))
+    images = [(k, points(rng.randint(0, 4000, (8, 2)))) for k in range(12)] + [(20, points(copied)), (21, points(copied + 5)), (22, [])]
+    own = spark.createDataFrame(images, f"rep long, points {media.DESCRIBED['points'].dataType.simpleString()}")
+    for block, step in ((2048, 1 << 20), (4, 3)):
+        monkeypatch.setattr(media, "BLOCK", block)
+        monkeypatch.setattr(media, "STEP", step)
+        assert [tuple(r) for r in media._links(own, media.Written(spark, "test")).collect()] == [(21, 20)]
+
+
 def test_png_is_read():
     import struct
 
