@@ -387,6 +387,60 @@ def test_copies_whose_keys_many_other_images_share_are_linked(spark, monkeypatch
         assert [tuple(r) for r in media._links(own, media.Written(spark, "test")).collect()] == [(21, 20)]
 
 
+@pytest.mark.parametrize("dense", [1, 64, 1 << 30])
+def test_near_descriptors_equal_brute_force_and_meet_less_often(monkeypatch, dense):
+    """Descriptors round a few centres, so that all keys are crowded. A pair meets at its crowded keys only where parities allow that those are the first it shares."""
+    rng = np.random.RandomState(4)
+
+    def around(centres, n):
+        bits = centres[rng.randint(0, len(centres), n)]
+        for row in bits:
+            row[rng.choice(256, rng.randint(0, 7), replace=False)] ^= 1
+        return media._kinds(np.packbits(bits, axis=1).view(np.uint64))
+
+    centres = rng.randint(0, 2, (3, 256)).astype(np.uint8)
+    p, q = around(centres, 300), around(centres, 400)
+    apart = np.bitwise_count(p["words"][:, :, None] ^ q["words"][:, None, :]).sum(axis=0)
+    want = {(int(u), int(v)) for u, v in zip(*np.nonzero(apart < media.TABLES), strict=True)}
+    met, compare = [], media._apart
+
+    def counted(a, b, *spare):
+        out = compare(a, b, *spare)
+        met.append(out.size)
+        return out
+
+    monkeypatch.setattr(media, "_apart", counted)
+    monkeypatch.setattr(media, "DENSE", dense)
+    monkeypatch.setattr(media, "TILE", 256)
+    got = [(int(u), int(v)) for us, vs in media.near_kinds(p, q, media.tables_of(q)) for u, v in zip(us, vs, strict=True)]
+    assert len(want) > 5000 and len(got) == len(set(got)) and set(got) == want
+    assert sum(met) < 0.9 * sum(int((a[:, None] == b).sum()) for a, b in zip(p["keys"], q["keys"], strict=True))
+
+
+def test_linked_images_equal_brute_force(spark, monkeypatch):
+    """Mosaics of four tones, many of which have links with others; blocks of five images, whose ids lie among each other's."""
+    rng = np.random.RandomState(8)
+    images = [(i * 7 % 31, media.describe(media.picture(rng.randint(0, 4, 36)).astype(np.float32))) for i in range(31)]
+    own = spark.createDataFrame([(r, [tuple(p.values()) for p in points]) for r, points in images], f"rep long, points {media.DESCRIBED['points'].dataType.simpleString()}")
+    monkeypatch.setattr(media, "BLOCK", 5)
+    got = sorted(tuple(r) for r in media._links(own, media.Written(spark, "test")).collect())
+    want = []
+    for r, ps in images:
+        for o, qs in images:
+            cells = {}
+            for i, p in enumerate(ps):
+                for q in qs if r > o else []:
+                    if sum((a ^ b).bit_count() for a, b in zip((x & (1 << 64) - 1 for x in p["d"]), (x & (1 << 64) - 1 for x in q["d"]), strict=True)) < media.TABLES:
+                        (px, py, pa_), (qx, qy, qa) = ([np.float64(np.float32(x[c])) for c in ("x", "y", "angle")] for x in (p, q))
+                        turn, zoom = qa - pa_, np.float64(np.float32(p["scale"])) / np.float64(np.float32(q["scale"]))
+                        dx, dy = qx - zoom * (np.cos(turn) * px - np.sin(turn) * py), qy - zoom * (np.sin(turn) * px + np.cos(turn) * py)
+                        for k in (0, 1):
+                            cells.setdefault((k, np.rint(turn / (2 * np.pi) * 12) % 12, np.rint(2 * np.log2(zoom)), np.floor(dx / 12 + k / 2), np.floor(dy / 12 + k / 2)), set()).add(i)
+            if any(len(x) >= media.VOTES for x in cells.values()):
+                want.append((r, o))
+    assert len(want) > 5 and got == sorted(want)
+
+
 def test_png_is_read():
     import struct
 
